@@ -41,6 +41,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+    from .common import scratch_path
+
+    path = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    stored = token_files.checksums(token_files.read(spark, path))
+    return stored.join(token_files.starts(spark, path), ["part", "seq"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
