@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,3 +78,12 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     """The batch with columns added; one of the same name is replaced."""
     names = [n for n in batch.schema.names if n not in new]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(new.values()), names=names + list(new))
+
+
+def id_lists(ids: list[bytes]) -> tuple[pa.ListArray, list[int]]:
+    """Byte strings of ids as one list column, and the lists' lengths."""
+    lengths = [len(x) >> 2 for x in ids]
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values), lengths

@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, with_columns
+from .common import id_lists, slices, with_columns
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -101,8 +102,8 @@ class Codec:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.surface = [{CONTROL: "", UNKNOWN: UNK_SURFACE}.get(t, p.replace(SPACE, " ")) for p, t in zip(self.pieces, self.types)]
         self._prepare(scores)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _prepare(self, scores: list[float]) -> None:
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
@@ -215,7 +216,7 @@ class Codec:
                 return tokens
             piece = longest[at] or segment[at]
 
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
+    def encode_segment(self, segment: str) -> bytes:
         out: list[int] = []
         for piece in self.backtrack(segment):
             i = self.ids.get(piece)
@@ -225,7 +226,7 @@ class Codec:
                 out += [self.byte_ids[b] for b in piece.encode()]
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-        return tuple(out)
+        return array("i", out).tobytes()
 
     def _chunks(self, text: str) -> Iterator[str]:
         at, n = 0, len(text)
@@ -239,27 +240,34 @@ class Codec:
             at = cut
         yield text[at:]
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for chunk in self._chunks(SPACE + text.replace(" ", SPACE)):
-            found = self.segments(chunk)
-            young, old, local = self.cache, self.older, {}
-            for s in set(found):
-                ids = young.get(s)
-                if ids is None:
-                    ids = old.get(s) or self.encode_segment(s)
-                    if len(s) <= 64:
-                        young[s] = ids
-                local[s] = ids
-            if len(young) > CACHE_SEGMENTS // 2:
-                self.cache, self.older = {}, young
-            out.extend(chain.from_iterable(map(local.__getitem__, found)))
-        if not self.byte_fallback:
-            out = [i for k, i in enumerate(out) if i != self.unk or not k or out[k - 1] != i]
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text, as native int32 bytes."""
+        out = []
+        for text in texts:
+            parts: list[bytes] = []
+            for chunk in self._chunks(SPACE + text.replace(" ", SPACE)) if text else ():
+                found = self.segments(chunk)
+                young, old, local = self.cache, self.older, {}
+                for s in set(found):
+                    ids = young.get(s)
+                    if ids is None:
+                        ids = old.get(s) or self.encode_segment(s)
+                        if len(s) <= 64:
+                            young[s] = ids
+                    local[s] = ids
+                if len(young) > CACHE_SEGMENTS // 2:
+                    self.cache, self.older = {}, young
+                parts.append(b"".join(map(local.__getitem__, found)))
+            ids = b"".join(parts)
+            if not self.byte_fallback and parts:  # neighbouring unknown characters are one id
+                a = np.frombuffer(ids, np.int32)
+                ids = a[np.append(True, (a[1:] != self.unk) | (a[:-1] != self.unk))].tobytes()
+            out.append(ids)
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return list(memoryview(self.encode_bytes([text])[0]).cast("i"))
+
     def decode(self, ids) -> str:
         """As the library does: one space at the start goes, runs of byte pieces are read as UTF-8."""
         if not len(ids):
@@ -327,10 +335,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
         c = codec(model_path)
         for batch in batches:
             for part in slices(batch, text):
-                lists = [c.encode(x) for x in part.column(text).to_pylist()]
-                new = {ids: pa.array(lists, pa.list_(pa.int32()))}
+                found = c.encode_bytes(part.column(text).to_pylist())
+                new = {ids: id_lists(found)[0]}
                 if decoded:
-                    new[decoded] = pa.array([c.decode(x) for x in lists], pa.string())
+                    new[decoded] = pa.array([c.decode(memoryview(x).cast("i").tolist()) for x in found], pa.string())
                 yield with_columns(part, new)
 
     new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})

@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import id_lists, slices
 
 #: Words kept per Python worker with their ids; half of them new, half those that were in use before.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
@@ -47,47 +49,61 @@ class WordEncoder:
     """A tokenizer whose pre-tokenizer never crosses white space, with a cache by word.
 
     Normaliser, pre-tokenizer and merges of such a tokenizer see every run between white space alone, so the
-    ids of a text are those of its words in turn. Words not in the cache are encoded together by the library.
+    ids of a text are those of its words in turn. Words not in the cache are encoded by the library in joined
+    batches, with a control character as a word between them whose single id shows where each word ends.
+    Ids are kept as little-endian int32 bytes.
     """
 
+    MARK = "\x01"
+    BATCH = 1000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.mark = self._plain([self.MARK])[0]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        if len(self.mark) != 1 or any(self.MARK in t for t in texts):
+            return [x.tobytes() for x in self._plain(texts)]
+        out: list[bytes] = []
+        between = f" {self.MARK} "
+        for ids in self._plain([between.join(texts[k : k + self.BATCH]) for k in range(0, len(texts), self.BATCH)]):
+            data, a = ids.tobytes(), 0
+            for b in (np.flatnonzero(ids == self.mark[0]) * 4).tolist():
+                out.append(data[a:b])
+                a = b + 4
+            out.append(data[a:])
+        assert len(out) == len(words)
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text, as bytes."""
         split = [(t or "").encode().split() for t in texts]
         young, old, missing = self.young, self.old, []
-        local: dict[bytes, list[int]] = {}
-        for words in split:
-            for w in set(words):
-                if w in local:
-                    continue
-                ids = young.get(w)
+        local: dict[bytes, bytes] = {}
+        for w in set(chain.from_iterable(split)):
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
                 if ids is None:
-                    ids = old.get(w)
-                    if ids is None:
-                        missing.append(w)
-                        ids = ()
-                    else:
-                        young[w] = ids
-                local[w] = ids
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)):
-                local[w] = ids = e.ids
-                if len(w) <= 64:
-                    young[w] = ids
+                    missing.append(w)
+                    continue
+                young[w] = ids
+            local[w] = ids
+        for w, ids in zip(missing, self._words(missing)):
+            local[w] = ids
+            if len(w) <= 64:
+                young[w] = ids
         if len(young) > CACHE_WORDS // 2:
             self.young, self.old = {}, young
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for x in map(local.__getitem__, words):
-                ids += x
-            out.append(ids)
-        return out
+        return [b"".join(map(local.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -105,13 +121,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq = encoder(tokenizer_path), 0
+        enc, seq, end = encoder(tokenizer_path), 0, np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                lists = [x + [end_id] for x in enc.encode(part.column("text").to_pylist())]
-                n = len(lists)
+            for part in slices(batch, "text", 6 << 20):
+                lists, lengths = id_lists([x + end for x in enc.encode(part.column("text").to_pylist())])
+                n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id"), pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int32()))],
+                    [pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id"), pa.array(lengths, pa.int64()), lists],
                     names=["seq", "doc_id", "n_tokens", "ids"],
                 )
                 seq += n
