@@ -59,6 +59,43 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.join(token_files.starts(spark, path), ["part", "seq"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .common import scratch_path
+
+    merged = warc.archive_and_read(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_SQL["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+     d as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+     f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
+#: (host, path, verdict)
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linkgraph
+
+    return linkgraph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
