@@ -48,6 +48,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_gbt as q
+
+    stats = q.document_features(table(spark, sf_dir, "documents"), ["doc_id"])
+    scored = q.score(stats, q.train(stats, table(spark, sf_dir, "labels"), q.learnable()))
+    return scored.select("doc_id", (~q.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
