@@ -98,6 +98,14 @@ URL_RULES = [
 ]
 
 
+@register
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    judged = quality_rules.assess(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 @register
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linkgraph
