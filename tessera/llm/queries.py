@@ -88,6 +88,14 @@ from f
 """
 
 
+@register
+def op9_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vamana
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return vamana.neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("org", "/", "allow"),
