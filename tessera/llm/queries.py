@@ -57,6 +57,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~q.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@register
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
 @register
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
