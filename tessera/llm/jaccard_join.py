@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles by a token-group matrix, as classes of linked documents.
 
 1. Sets. Each whole text becomes its set of shingle hashes (64 bit). Documents with equal sets are one class;
-   one text of each class is written to a table that all later steps read.
+   later steps read the text of its first document only.
 2. Frequencies. All tokens are counted (as 32-bit prefixes, sorted and delta-packed before the exchange). The
    most frequent ones, a list of bounded length, come last in the common order of tokens; all others are in
    hash order. Any common order gives the same result; this one keeps shared passages out of prefixes.
@@ -27,6 +27,7 @@ Sets are told apart by 64-bit hashes: of n different sets two collide with odds
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,11 @@ def set_id(s: np.ndarray) -> int:
     return int(_mix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def is_class(s: np.ndarray, nid: int) -> bool:
+    """Whether the set is of class ``nid``; a doc_id may stand for several rows with other texts."""
+    return len(s) > 0 and set_id(s) == nid
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether den * |a & b| >= num * |a | b|."""
     if len(a) > len(b):
@@ -155,8 +161,10 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 _SETS = T.StructType(
@@ -230,6 +238,8 @@ def _leader_links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 links = []
                 keys = zip(piece.column("r").to_pylist(), piece.column("bucket").to_pylist(), piece.column("salt").to_pylist())
                 for key, nid, s in zip(keys, piece.column("nid").to_pylist(), shingle_sets(piece.column("text"), k)):
+                    if not is_class(s, nid):
+                        continue
                     if key != at:
                         at, leaders = key, []
                     for other, t in leaders:
@@ -259,7 +269,9 @@ def _postings(classes: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 tokens, counts = [], []
-                for s in shingle_sets(piece.column("text"), k):
+                for s, nid in zip(shingle_sets(piece.column("text"), k), piece.column("nid").to_pylist()):
+                    if not is_class(s, nid):
+                        s = s[:0]
                     width = len(s) - _least_overlap(len(s), num, den) + 1 if len(s) else 0
                     if len(values) and width:
                         high = (s >> np.uint64(32)).astype(np.uint32)
@@ -340,6 +352,8 @@ def _open_groups(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keys = zip(piece.column("gid").to_pylist(), piece.column("salt").to_pylist())
                 sets = shingle_sets(piece.column("text"), k)
                 for key, asks, nid, s in zip(keys, piece.column("asks").to_pylist(), piece.column("nid").to_pylist(), sets):
+                    if not is_class(s, nid):
+                        continue
                     if key != at:
                         at, members, union = key, [], None
                     if not asks:
@@ -373,29 +387,20 @@ def join_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     sets = made.where("part is null").select("doc_id", "nid", "n", "m0", "m1", "m2")
     hot = _frequent(made.where("part is not null").select("part", "tokens"), parts)
 
-    # one text of each class; a repeated doc_id with another text fails the check of the class id
     first = sets.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "m2")])
     first = materialize(first, "join-first")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE):
-                same = [len(s) > 0 and set_id(s) == i for s, i in zip(shingle_sets(piece.column("text"), shingle), piece.column("nid").to_pylist())]
-                yield piece.filter(pa.array(same, pa.bool_()))
-
-    picked = src.join(first.select("nid", F.col("doc_id").alias("rep")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "text")
-    repeated = sets.groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    if repeated:  # ids that stand for several rows
-        picked = picked.mapInArrow(own, picked.schema).dropDuplicates(["nid"])
-    classes = materialize(picked, "join-classes")
-    _release(spark)
+    def with_text(rows: DataFrame) -> DataFrame:
+        """Rows with a nid, and the text of the class's first document; readers check that it is of the class."""
+        rows = rows.join(first.select("nid", F.col("doc_id").alias("rep")), "nid")
+        return rows.join(src, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep", "doc_id")
 
     # leaders of min-hash buckets
     keys = first.select("nid", F.posexplode(F.array("m0", "m1", "m2")).alias("r", "bucket"))
     sizes = keys.groupBy("r", "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     salt = F.pmod(F.xxhash64("nid"), F.ceil(F.col("c") / BUCKET_ROWS)).cast("int")
     shared = keys.join(sizes, ["r", "bucket"]).select("nid", "r", "bucket", salt.alias("salt"))
-    dealt = shared.join(classes, "nid").repartition("r", "bucket", "salt").sortWithinPartitions("r", "bucket", "salt", "nid")
+    dealt = with_text(shared).repartition("r", "bucket", "salt").sortWithinPartitions("r", "bucket", "salt", "nid")
     links = materialize(_leader_links(dealt, shingle, num, den), "join-links")
     _release(spark)
     known = components(links)
@@ -408,8 +413,7 @@ def join_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     groups = materialize(groups.select("nid", "n", "comp", F.xxhash64("comp", cell).alias("gid")), "join-groups")
 
     # matrix and queries
-    placed = classes.join(groups.select("nid", "comp"), "nid")
-    postings = _postings(placed, shingle, num, den, hot).repartition("token").sortWithinPartitions("token", "comp")
+    postings = _postings(with_text(groups.select("nid", "comp")), shingle, num, den, hot).repartition("token").sortWithinPartitions("token", "comp")
     met = materialize(_meetings(postings).distinct(), "join-meetings")
     _release(spark)
     asked = met.join(groups.select("nid", F.col("n").alias("nq")), "nid")
@@ -419,7 +423,7 @@ def join_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     load = asked.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("salts"))
     asking = asked.join(load, "gid").select("nid", "gid", F.pmod(F.xxhash64("nid"), "salts").cast("int").alias("salt"), F.lit(1).alias("asks"))
     opened = groups.join(load, "gid").select("nid", "gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("asks"))
-    needed = asking.union(opened).join(classes, "nid").repartition("gid", "salt").sortWithinPartitions("gid", "salt", "asks", "nid")
+    needed = with_text(asking.union(opened)).repartition("gid", "salt").sortWithinPartitions("gid", "salt", "asks", "nid")
     more = materialize(_open_groups(needed, shingle, num, den), "join-links")
     _release(spark)
 
