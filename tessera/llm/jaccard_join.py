@@ -9,7 +9,8 @@
    first components. A component is cut into groups of at most ``GROUP`` members.
 4. Matrix. Two sets that link share a token among the first n - ceil(t * n) + 1 of each. So the matrix holds, for
    each token, the components that have it in a prefix, once each however many members do; a document
-   whose prefix meets another component's row is a query to that component, the side with fewer members asking.
+   whose prefix meets another component's row is a query to that component, the side with fewer members asking,
+   unless sizes and positions of the token show that too few tokens are left to share.
 5. Opening. A group's token union bounds the overlap of any member with the query. Only groups whose bound and
    sizes can reach the threshold are opened; members are compared until one links, as the members of a group
    are known to be connected.
@@ -258,17 +259,17 @@ def _leader_links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """(token, nid, comp) for the prefix of each class in the common order."""
+    """(token, nid, comp, place) for the prefix of each class in the common order; place is n << 32 | position."""
     spark = classes.sparkSession
     by_value = np.argsort(hot, kind="stable")
     shared = spark.sparkContext.broadcast((hot[by_value], by_value.astype(np.uint64)))  # at most HOT_TOKENS entries
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "nid", "comp")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "nid", "comp", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = shared.value
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                tokens, counts = [], []
+                tokens, counts, places = [], [], []
                 for s, nid in zip(shingle_sets(piece.column("text"), k), piece.column("nid").to_pylist()):
                     if not is_class(s, nid):
                         s = s[:0]
@@ -283,38 +284,50 @@ def _postings(classes: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -
                             s = np.concatenate([s[~frequent], last[np.lexsort((last, ranks[at[frequent]]))]])
                     tokens.append(s[:width])
                     counts.append(len(tokens[-1]))
+                    places.append((len(s) << 32) + np.arange(counts[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64))] + [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("nid", "comp")],
+                    [pa.array(np.concatenate(tokens).view(np.int64))] + [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("nid", "comp")] + [pa.array(np.concatenate(places))],
                     names=schema.names,
                 )
 
     return classes.mapInArrow(run, schema)
 
 
-def _meetings(postings: DataFrame) -> DataFrame:
+def _can_link(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether two sets whose first common token is at these positions may reach the threshold."""
+    least = -(-num * (n + n2) // (num + den))
+    return (np.minimum(n - at, n2 - at2) >= least) & (np.minimum(n, n2) * den >= np.maximum(n, n2) * num)
+
+
+def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(nid, comp): queries to other components, from token runs of rows sorted by (token, comp)."""
     schema = T.StructType([T.StructField("nid", T.LongType()), T.StructField("comp", T.LongType())])
+    block = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         out: set[tuple[int, int]] = set()
 
-        def meet(token: np.ndarray, nid: np.ndarray, comp: np.ndarray) -> None:
+        def meet(token: np.ndarray, nid: np.ndarray, comp: np.ndarray, place: np.ndarray) -> None:
+            n, at = place >> 32, place & 0xFFFFFFFF
             edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(edge, len(token)))
-            many = size > 1
-            for a, n in zip(edge[many].tolist(), size[many].tolist()):
-                c = comp[a : a + n]
-                if c[0] == c[-1]:
-                    continue
-                starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                sizes = np.diff(np.append(starts, n))
-                order = np.argsort(sizes, kind="stable").tolist()  # the smaller side asks the larger
-                for i, small in enumerate(order):
-                    asking = nid[a + starts[small] : a + starts[small] + sizes[small]].tolist()
-                    for large in order[i + 1 :]:
-                        to = int(c[starts[large]])
-                        out.update((x, to) for x in asking)
+            two = edge[size == 2]  # most runs: all at once
+            two = two[(comp[two] != comp[two + 1]) & _can_link(n[two], at[two], n[two + 1], at[two + 1], num, den)]
+            out.update(zip(nid[two].tolist(), comp[two + 1].tolist()))
+            many = (size > 2) & (comp[edge] != comp[edge + size - 1])
+            for a, r in zip(edge[many].tolist(), size[many].tolist()):
+                c, m, p, x = comp[a : a + r], n[a : a + r], at[a : a + r], nid[a : a + r]
+                starts = np.append(True, c[1:] != c[:-1]).cumsum() - 1
+                sizes = np.bincount(starts)
+                rank = np.empty(len(sizes), np.int64)
+                rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
+                rank = rank[starts]  # the side with fewer members asks the other
+                for k in range(0, r, block):
+                    q = slice(k, k + block)
+                    asks = (rank[q, None] < rank) & _can_link(m[q, None], p[q, None], m, p, num, den)
+                    i, j = np.nonzero(asks)
+                    out.update(zip(x[q][i].tolist(), c[j].tolist()))
 
         def drain() -> pa.RecordBatch:
             pairs = list(zip(*out)) or [(), ()]
@@ -322,7 +335,7 @@ def _meetings(postings: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=schema.names)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "nid", "comp")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "nid", "comp", "place")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             token = cols[0]
@@ -414,7 +427,7 @@ def join_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
 
     # matrix and queries
     postings = _postings(with_text(groups.select("nid", "comp")), shingle, num, den, hot).repartition("token").sortWithinPartitions("token", "comp")
-    met = materialize(_meetings(postings).distinct(), "join-meetings")
+    met = materialize(_meetings(postings, num, den).distinct(), "join-meetings")
     _release(spark)
     asked = met.join(groups.select("nid", F.col("n").alias("nq")), "nid")
     ranges = groups.groupBy("comp", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
