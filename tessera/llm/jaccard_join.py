@@ -445,3 +445,15 @@ def join_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(least, "component").select("nid", "component_id"), "join-components")
     return sets.join(named, "nid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each class of near copies stays: that with the smallest doc_id.
+
+    Documents without shingles, and those without an id, stay; of repeated rows one stays.
+    """
+    classes = materialize(join_classes(docs, shingle, num, den), "join-classes")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    again = classes.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return left.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else left

@@ -107,3 +107,24 @@ def mix(
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
     last = F.least(F.greatest(words - rounds * F.col("shard_size") - F.col("_before"), F.lit(0)), F.col("size"))
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * rounds + last).alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, then its first words for what is left.
+
+    Documents that are not taken go. A part keeps whole words, joined by single spaces, and n_chars, where there
+    is such a column, becomes its length.
+    """
+    columns = docs.columns
+    inner = [f"k_{c}" for c in columns]
+    base = docs.select(*[F.col(c).alias(k) for c, k in zip(columns, inner)], F.monotonically_increasing_id().alias("_row"))
+    base = materialize(base, "mix-documents")
+    quota = mix(base.select(F.col("k_doc_id").alias("doc_id"), F.col("k_source").alias("source"), F.col("k_text").alias("text"), "_row"), carry=["_row"], **options)
+    quota = quota.where("taken > 0").select("_row", F.floor(F.col("taken") / F.col("size")).alias("_whole"), (F.col("taken") % F.col("size")).alias("_part"))
+    rows = base.join(quota, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    cut = F.col("_copy") > F.col("_whole")
+    words = F.regexp_extract_all(F.col("k_text"), F.lit(WORD), 0)
+    rows = rows.withColumn("k_text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")).otherwise(F.col("k_text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("k_n_chars", F.when(cut, F.char_length("k_text")).otherwise(F.col("k_n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(columns, inner)])

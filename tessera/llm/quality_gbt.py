@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, slices
 from .textstats import FEATURES, add_stats, features
 
 
@@ -142,6 +142,18 @@ def score(stats: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
     return stats.mapInArrow(run, T.StructType([*schema, T.StructField(out, T.DoubleType())]))
 
 
+def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents whose score reaches ``threshold``, judged where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                x = np.array([features(t) for t in part.column(text).to_pylist()], float).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(trees.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(doc_id=None):
     """Rows to learn from: those whose CRC-32 of the id's decimal text leaves another remainder by 3 than 1."""
     c = F.col("doc_id") if doc_id is None else doc_id

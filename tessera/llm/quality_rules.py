@@ -144,14 +144,13 @@ def _step(rows: DataFrame, now: DataFrame, share: float, factor: float) -> DataF
     return _estimates(chosen, factor)
 
 
-def assess(docs: DataFrame, share: float = 0.75, steps: int = 5, cutoff: float = CUTOFF, min_rows: int = 100, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep``, RULE_STATS, base_failed, distance (squared, null if base_failed) and kept."""
-    keep = keep or ["doc_id"]
-    src = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "text")
-    stats = add_stats(src, rule_stats, RULE_STATS, T.LongType())
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = materialize(vector(stats.withColumn("base_failed", failed)), "rule-stats")
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
+
+def estimate(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statistics of every document, group of each language and source, estimate of each group)."""
+    stats = materialize(vector(add_stats(docs, rule_stats, RULE_STATS, T.LongType()).withColumn("base_failed", _failed())), "rule-stats")
     sizes = stats.where("not base_failed").groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
     alone = F.col("n") >= min_rows
     by_lang = F.sum(F.when(~alone, F.col("n"))).over(Window.partitionBy("g_lang")) >= min_rows
@@ -159,15 +158,39 @@ def assess(docs: DataFrame, share: float = 0.75, steps: int = 5, cutoff: float =
     groups = sizes.select("g_lang", "g_source", level.alias("level"))
     gid = F.when(F.col("level") == 0, F.xxhash64(F.lit(0), F.to_json(F.struct("g_lang", "g_source")))).when(F.col("level") == 1, F.xxhash64(F.lit(1), F.to_json(F.struct("g_lang")))).otherwise(0)
     groups = materialize(groups.withColumn("gid", gid.cast("long")).drop("level"), "rule-groups")
-    same = stats["g_lang"].eqNullSafe(groups["g_lang"]) & stats["g_source"].eqNullSafe(groups["g_source"])
-    rows = stats.where("not base_failed").join(groups, same).select("gid", *VECTOR)
-    rows = materialize(rows, "rule-vectors")
-
+    rows = materialize(stats.where("not base_failed").join(groups, _same(stats, groups)).select("gid", *VECTOR), "rule-vectors")
     now = materialize(_start(rows), "rule-estimate")
     factor = _consistency(share, len(VECTOR))
     for _ in range(steps):
         now = materialize(_step(rows, now, share, factor), "rule-estimate")
-    placed = stats.join(groups, same, "left").drop("g_lang", "g_source").join(now, "gid", "left")
-    distance = F.when(~F.col("base_failed"), _distance())
-    kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
-    return placed.select(*[F.col(f"k_{c}").alias(c) for c in keep], *RULE_STATS, *VECTOR, "base_failed", distance.alias("distance"), kept.alias("kept"))
+    return stats, groups, now
+
+
+def _same(stats: DataFrame, groups: DataFrame) -> Column:
+    return stats["g_lang"].eqNullSafe(groups["g_lang"]) & stats["g_source"].eqNullSafe(groups["g_source"])
+
+
+def _judged(stats: DataFrame, groups: DataFrame, now: DataFrame, cutoff: float) -> DataFrame:
+    placed = stats.join(groups, _same(stats, groups), "left").drop("g_lang", "g_source").join(now, "gid", "left")
+    placed = placed.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return placed.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+
+
+def _grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns under a prefix, so that no name of theirs clashes, beside text, language and source."""
+    return docs.select(*[F.col(c).alias(f"k_{c}") for c in columns], F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "text")
+
+
+def assess(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = None, **options) -> DataFrame:
+    """The columns of ``keep``, RULE_STATS, base_failed, distance (squared, null if base_failed) and kept."""
+    keep = keep or ["doc_id"]
+    judged = _judged(*estimate(_grouped(docs, keep), **options), cutoff)
+    return judged.select(*[F.col(f"k_{c}").alias(c) for c in keep], *RULE_STATS, *VECTOR, "base_failed", "distance", "kept")
+
+
+def accepted(docs: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
+    """The documents that pass, as they are: estimates first, then a second look at each text where it is read."""
+    _, groups, now = estimate(_grouped(docs, []), **options)
+    stats = add_stats(_grouped(docs, docs.columns), rule_stats, RULE_STATS, T.LongType(), keep_text=True)
+    judged = _judged(vector(stats.withColumn("base_failed", _failed())), groups, now, cutoff)
+    return judged.where("kept").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])

@@ -106,16 +106,16 @@ def features(text: str | None) -> tuple:
     )
 
 
-def add_stats(df: DataFrame, f: Callable[[str | None], tuple], names: list[str], kind: T.DataType, text: str = "text") -> DataFrame:
-    """Replace the text by one column per statistic."""
+def add_stats(df: DataFrame, f: Callable[[str | None], tuple], names: list[str], kind: T.DataType, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Replace the text by one column per statistic, or with ``keep_text`` add them."""
     arrow = pa.float64() if isinstance(kind, T.DoubleType) else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 rows = [f(t) for t in part.column(text).to_pylist()]
-                kept = part.select([c for c in part.schema.names if c != text])
+                kept = part if keep_text else part.select([c for c in part.schema.names if c != text])
                 yield with_columns(kept, {name: pa.array(column, arrow) for name, column in zip(names, zip(*rows))})
 
-    schema = [x for x in df.schema.fields if x.name != text and x.name not in names] + [T.StructField(n, kind) for n in names]
+    schema = [x for x in df.schema.fields if (keep_text or x.name != text) and x.name not in names] + [T.StructField(n, kind) for n in names]
     return df.mapInArrow(run, T.StructType(schema))
