@@ -87,3 +87,67 @@ def id_lists(ids: list[bytes]) -> tuple[pa.ListArray, list[int]]:
     np.cumsum(lengths, out=offsets[1:])
     values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
     return pa.ListArray.from_arrays(pa.array(offsets), values), lengths
+
+
+_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = _POWERS.get(base)
+    if p is None or len(p) < n:
+        p = np.full(max(n, SLICE_BYTES >> 2), base, np.uint64)
+        p[0] = 1
+        p = np.cumprod(p, dtype=np.uint64)
+        if n <= SLICE_BYTES:
+            _POWERS[base] = p
+    return p[:n]
+
+
+def word_spans(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a string column, found on its buffer: (bytes, starts, stops, 64-bit hashes, first word of each text).
+
+    The last array has one entry more than there are texts. With ``lower`` A-Z hash as a-z. Null is empty.
+    """
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    n_docs = len(texts)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n_docs + 1].astype(np.int64) if n_docs else np.zeros(1, np.int64)
+    if at[-1] == at[0]:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, none.astype(np.uint64), np.zeros(n_docs + 1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = ~_SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = at[:-1][at[:-1] < len(raw)]
+    begins[cuts] |= inside[cuts]
+    ends = inside
+    begins_at = np.flatnonzero(begins)
+    last = at[1:][at[1:] > 0] - 1
+    closing = np.append(ends[:-1] & ~ends[1:], ends[-1:])
+    closing[last] |= ends[last]
+    stop = np.flatnonzero(closing) + 1
+    total = np.zeros(len(raw) + 1, np.uint64)
+    codes = (_LOWER[raw] if lower else raw).astype(np.uint64)
+    codes += np.uint64(1)
+    codes *= _powers(_BASE, len(raw))
+    np.cumsum(codes, out=total[1:])
+    word = (total[stop] - total[begins_at]) * _powers(pow(_BASE, -1, 1 << 64), len(raw))[begins_at]
+    word = mix(word + (stop - begins_at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return raw, begins_at, stop, word, np.searchsorted(begins_at, at)

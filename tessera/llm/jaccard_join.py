@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, mix, slices, word_spans
 from .components import components
 
 #: Members of a group of the matrix.
@@ -51,67 +51,24 @@ QUERY_ROWS = 4096
 HOT_COUNT, HOT_TOKENS = 24, 1 << 20
 SLICE = 2 << 20
 _MIN_HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    if n:
-        p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; the work is on the column's buffer, not on strings."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    if pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.string())
-    n_docs = len(texts)
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n_docs + 1].astype(np.int64)
-    if not n_docs or at[-1] == at[0]:
-        return [np.zeros(0, np.uint64)] * n_docs
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    inside = ~_SPACE[raw]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cuts = at[:-1][at[:-1] < len(raw)]
-    begins[cuts] |= inside[cuts]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    last = at[1:][at[1:] > 0] - 1
-    ends[last] |= inside[last]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=total[1:])
-    word = (total[stop] - total[start]) * _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)[start]
-    word = _mix(word + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    first = np.searchsorted(start, at)  # words of document i: first[i] to first[i + 1]
+    """The sorted distinct shingle hashes of each text."""
+    _, _, _, word, first = word_spans(texts, lower=True)
     factor = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(k)]
     n_windows = max(0, len(word) - k + 1)
     window = word[:n_windows] * factor[0]
     for j in range(1, k):
         window += word[j : n_windows + j] * factor[j]
-    window = _mix(window)
+    window = mix(window)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= k:
             out.append(np.unique(window[a : b - k + 1]))
         elif b > a:
             short = sum(word[a + j] * factor[j] for j in range(b - a)) + np.uint64(b - a)
-            out.append(_mix(np.array([short], np.uint64)))
+            out.append(mix(np.array([short], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -119,8 +76,8 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 def set_id(s: np.ndarray) -> int:
     """A signed 64-bit hash of a set."""
-    mixed = _mix(s ^ np.uint64(0xA0761D6478BD642F))
-    return int(_mix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    mixed = mix(s ^ np.uint64(0xA0761D6478BD642F))
+    return int(mix(np.array([mixed.sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def is_class(s: np.ndarray, nid: int) -> bool:
@@ -193,7 +150,7 @@ def _sets(docs: DataFrame, k: int, parts: int) -> DataFrame:
             for piece in slices(batch, "text", SLICE):
                 sets = shingle_sets(piece.column("text"), k)
                 ids = [set_id(s) if len(s) else None for s in sets]
-                mins = [[int(_mix(s * m).min().view(np.int64)) if len(s) else None for s in sets] for m in _MIN_HASHES]
+                mins = [[int(mix(s * m).min().view(np.int64)) if len(s) else None for s in sets] for m in _MIN_HASHES]
                 none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), *[pa.array(m, pa.int64()) for m in mins], *none], names=_SETS.names

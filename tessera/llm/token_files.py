@@ -14,18 +14,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_lists, slices
+from .common import slices, word_spans
 
 #: Words kept per Python worker with their ids; half of them new, half those that were in use before.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
@@ -62,8 +62,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._plain([self.MARK])[0]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,27 +83,40 @@ class WordEncoder:
         assert len(out) == len(words)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of every text, as bytes."""
-        split = [(t or "").encode().split() for t in texts]
-        young, old, missing = self.young, self.old, []
-        local: dict[bytes, bytes] = {}
-        for w in set(chain.from_iterable(split)):
-            ids = young.get(w)
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
+        """The ids of every text of a column, each followed by ``end_id``.
+
+        Words are told apart by 64-bit hashes; each distinct one is looked up once, and the ids of all words
+        are gathered in one indexing.
+        """
+        raw, start, stop, hashes, first = word_spans(texts)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        young, old = self.young, self.old
+        new = []
+        for k in set(keys).difference(young):
+            ids = old.get(k)
             if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
-                    continue
-                young[w] = ids
-            local[w] = ids
-        for w, ids in zip(missing, self._words(missing)):
-            local[w] = ids
-            if len(w) <= 64:
-                young[w] = ids
+                new.append(k)
+            else:
+                young[k] = ids
+        if new:
+            places = at[np.searchsorted(distinct, np.array(new, np.uint64))]
+            young.update(zip(new, self._words([raw[a:b].tobytes() for a, b in zip(start[places].tolist(), stop[places].tolist())])))
+        ids = list(map(young.__getitem__, keys))
         if len(young) > CACHE_WORDS // 2:
             self.young, self.old = {}, young
-        return [b"".join(map(local.__getitem__, words)) for words in split]
+        if end_id is not None:  # one more word, at the end of every text
+            ids.append(np.array([end_id], "<i4").tobytes())
+            which = np.insert(which, first[1:], len(keys))
+            first = first + np.arange(len(first))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        begin = np.cumsum(lengths) - lengths
+        count = lengths[which]
+        done = np.append(0, np.cumsum(count))
+        values = flat[np.repeat(begin[which] - done[:-1], count) + np.arange(done[-1])]
+        return pa.ListArray.from_arrays(pa.array(done[first].astype(np.int32)), pa.array(values, pa.int32()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -121,13 +134,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq, end = encoder(tokenizer_path), 0, np.array([end_id], "<i4").tobytes()
+        enc, seq = encoder(tokenizer_path), 0
         for batch in batches:
-            for part in slices(batch, "text", 6 << 20):
-                lists, lengths = id_lists([x + end for x in enc.encode(part.column("text").to_pylist())])
-                n = len(lengths)
+            for part in slices(batch, "text", 2 << 20):
+                lists, n = enc.encode(part.column("text"), end_id), part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id"), pa.array(lengths, pa.int64()), lists],
+                    [pa.array(range(seq, seq + n), pa.int64()), part.column("doc_id"), pa.compute.list_value_length(lists).cast(pa.int64()), lists],
                     names=["seq", "doc_id", "n_tokens", "ids"],
                 )
                 seq += n
