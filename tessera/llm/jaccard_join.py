@@ -10,7 +10,7 @@
 4. Matrix. Two sets that link share a token among the first n - ceil(t * n) + 1 of each. So the matrix holds, for
    each token, the components that have it in a prefix, once each however many members do; a document
    whose prefix meets another component's row is a query to that component, the side with fewer members asking,
-   unless sizes and positions of the token show that too few tokens are left to share.
+   unless sizes, positions of the token or parities of token cells show that too few tokens are shared.
 5. Opening. A group's token union bounds the overlap of any member with the query. Only groups whose bound and
    sizes can reach the threshold are opened; members are compared until one links, as the members of a group
    are known to be connected.
@@ -101,6 +101,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which of 128 cells hold an odd number of the set's tokens, as two int64."""
+    return np.packbits(np.bincount(s >> np.uint64(57), minlength=128).astype(np.uint8) & 1).view(np.int64)
+
+
 def _least_overlap(n: int, num: int, den: int) -> int:
     """Tokens that a set of n shares with any set it links to, at least."""
     return -(-num * n // den)
@@ -216,21 +221,22 @@ def _leader_links(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """(token, nid, comp, place) for the prefix of each class in the common order; place is n << 32 | position."""
+    """The prefix of each class in the common order; place is n << 32 | position, b0 and b1 are parity bits."""
     spark = classes.sparkSession
     by_value = np.argsort(hot, kind="stable")
     shared = spark.sparkContext.broadcast((hot[by_value], by_value.astype(np.uint64)))  # at most HOT_TOKENS entries
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "nid", "comp", "place")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("token", "nid", "comp", "place", "b0", "b1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = shared.value
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                tokens, counts, places = [], [], []
+                tokens, counts, places, bits = [], [], [], []
                 for s, nid in zip(shingle_sets(piece.column("text"), k), piece.column("nid").to_pylist()):
                     if not is_class(s, nid):
                         s = s[:0]
                     width = len(s) - _least_overlap(len(s), num, den) + 1 if len(s) else 0
+                    bits.append(parity(s))
                     if len(values) and width:
                         high = (s >> np.uint64(32)).astype(np.uint32)
                         at = np.searchsorted(values, high)
@@ -243,17 +249,23 @@ def _postings(classes: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -
                     counts.append(len(tokens[-1]))
                     places.append((len(s) << 32) + np.arange(counts[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64))] + [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("nid", "comp")] + [pa.array(np.concatenate(places))],
+                    [pa.array(np.concatenate(tokens).view(np.int64))] + [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("nid", "comp")]
+                    + [pa.array(np.concatenate(places))] + [pa.array(np.repeat(b, counts)) for b in np.array(bits).reshape(-1, 2).T],
                     names=schema.names,
                 )
 
     return classes.mapInArrow(run, schema)
 
 
-def _can_link(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether two sets whose first common token is at these positions may reach the threshold."""
+def _can_link(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], num: int, den: int) -> np.ndarray:
+    """Whether two sets (size, position of their first common token, parity bits) may reach the threshold.
+
+    What follows the token bounds the overlap; cells of different parity bound the symmetric difference.
+    """
+    (n, at, b0, b1), (n2, at2, c0, c1) = a, b
     least = -(-num * (n + n2) // (num + den))
-    return (np.minimum(n - at, n2 - at2) >= least) & (np.minimum(n, n2) * den >= np.maximum(n, n2) * num)
+    apart = np.bitwise_count(b0 ^ c0).astype(np.int64) + np.bitwise_count(b1 ^ c1)
+    return (np.minimum(n - at, n2 - at2) >= least) & (np.minimum(n, n2) * den >= np.maximum(n, n2) * num) & (apart <= n + n2 - 2 * least)
 
 
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -265,16 +277,16 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
         rest = None
         out: set[tuple[int, int]] = set()
 
-        def meet(token: np.ndarray, nid: np.ndarray, comp: np.ndarray, place: np.ndarray) -> None:
-            n, at = place >> 32, place & 0xFFFFFFFF
+        def meet(token: np.ndarray, nid: np.ndarray, comp: np.ndarray, place: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+            known = (place >> 32, place & 0xFFFFFFFF, b0.view(np.uint64), b1.view(np.uint64))
             edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(edge, len(token)))
             two = edge[size == 2]  # most runs: all at once
-            two = two[(comp[two] != comp[two + 1]) & _can_link(n[two], at[two], n[two + 1], at[two + 1], num, den)]
+            two = two[(comp[two] != comp[two + 1]) & _can_link(tuple(x[two] for x in known), tuple(x[two + 1] for x in known), num, den)]
             out.update(zip(nid[two].tolist(), comp[two + 1].tolist()))
             many = (size > 2) & (comp[edge] != comp[edge + size - 1])
             for a, r in zip(edge[many].tolist(), size[many].tolist()):
-                c, m, p, x = comp[a : a + r], n[a : a + r], at[a : a + r], nid[a : a + r]
+                c, x, mine = comp[a : a + r], nid[a : a + r], tuple(y[a : a + r] for y in known)
                 starts = np.append(True, c[1:] != c[:-1]).cumsum() - 1
                 sizes = np.bincount(starts)
                 rank = np.empty(len(sizes), np.int64)
@@ -282,7 +294,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
                 rank = rank[starts]  # the side with fewer members asks the other
                 for k in range(0, r, block):
                     q = slice(k, k + block)
-                    asks = (rank[q, None] < rank) & _can_link(m[q, None], p[q, None], m, p, num, den)
+                    asks = (rank[q, None] < rank) & _can_link(tuple(y[q, None] for y in mine), mine, num, den)
                     i, j = np.nonzero(asks)
                     out.update(zip(x[q][i].tolist(), c[j].tolist()))
 
@@ -292,7 +304,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=schema.names)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "nid", "comp", "place")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "nid", "comp", "place", "b0", "b1")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             token = cols[0]
