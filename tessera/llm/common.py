@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word, in every contract: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once by an Arrow function; a longer single text is one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,6 +52,26 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch between the engine and Python; the engine's default is 16 times as much.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small, so that long texts do not add up in a worker or an executor."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,10 +128,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     p = _POWERS.get(base)
     if p is None or len(p) < n:
-        p = np.full(max(n, SLICE_BYTES >> 2), base, np.uint64)
+        p = np.full(n, base, np.uint64)
         p[0] = 1
         p = np.cumprod(p, dtype=np.uint64)
-        if n <= SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             _POWERS[base] = p
     return p[:n]
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, slices, word_spans
+from .common import materialize, mix, slices, trim, word_spans
 from .components import components
 
 #: Members of a group of the matrix.
@@ -49,7 +49,7 @@ LEADERS, BUCKET_ROWS = 12, 4096
 QUERY_ROWS = 4096
 #: Tokens from this count on may be called frequent; at most HOT_TOKENS are.
 HOT_COUNT, HOT_TOKENS = 24, 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 _MIN_HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -162,11 +162,13 @@ def _sets(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 )
                 held += [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
                 size += sum(map(len, sets))
-                if size >= 4_000_000:
+                if size >= 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
+        held = []
+        trim()
 
     return docs.mapInArrow(run, _SETS)
 
@@ -319,6 +321,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
             meet(*rest)
         if out:
             yield drain()
+        trim()
 
     return postings.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, slices, trim
 from .textstats import FEATURES, add_stats, features
 
 
@@ -41,7 +41,7 @@ class Trees:
     depth: int
     base: float
 
-    def score(self, x: np.ndarray, block: int = 4096) -> np.ndarray:
+    def score(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
         out = np.empty(len(x))
         for a in range(0, len(x), block):
             part = x[a : a + block]
@@ -150,6 +150,7 @@ def accepted(docs: DataFrame, trees: Trees, threshold: float = 0.5, text: str =
             for part in slices(batch, text):
                 x = np.array([features(t) for t in part.column(text).to_pylist()], float).reshape(-1, len(FEATURES))
                 yield part.filter(pa.array(trees.score(x) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,7 +13,9 @@ _SQL: dict[str, str] = {}
 
 
 def register(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
+    from .common import bounded
+
+    _QUERIES[f.__name__] = lambda spark, sf_dir: f(bounded(spark), sf_dir)
     return f
 
 

@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import id_lists, slices, with_columns
+from .common import id_lists, slices, trim, with_columns
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNK_SURFACE = " ⁇ "
-#: Segments kept per Python worker: half of them new, half those that were in use before.
-CACHE_SEGMENTS = 400_000
-#: Neighbour checks kept per Python worker.
-CACHE_PAIRS = 600_000
+#: Segments kept during a task: half of them new, half those that were in use before.
+CACHE_SEGMENTS = 600_000
+#: Neighbour checks kept during a task.
+CACHE_PAIRS = 400_000
 #: Characters of a text encoded at once; the cut moves on to the next segment boundary.
 CHUNK = 1 << 20
 
@@ -138,6 +138,11 @@ class Codec:
         self.whole = whole
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def forget(self) -> None:
+        """Empty the caches; a worker may run other tasks next."""
+        self.cache, self.older = {}, {}
+        self.pairs.clear()
+
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Plain merging from characters: best rank first, leftmost of equals. Also the last merge."""
         parts, last, rank = list(text), None, self.rank
@@ -247,17 +252,12 @@ class Codec:
             parts: list[bytes] = []
             for chunk in self._chunks(SPACE + text.replace(" ", SPACE)) if text else ():
                 found = self.segments(chunk)
-                young, old, local = self.cache, self.older, {}
-                for s in set(found):
-                    ids = young.get(s)
-                    if ids is None:
-                        ids = old.get(s) or self.encode_segment(s)
-                        if len(s) <= 64:
-                            young[s] = ids
-                    local[s] = ids
+                young, old = self.cache, self.older
+                for s in set(found).difference(young):
+                    young[s] = old.get(s) or self.encode_segment(s)
+                parts.append(b"".join(map(young.__getitem__, found)))
                 if len(young) > CACHE_SEGMENTS // 2:
-                    self.cache, self.older = {}, young
-                parts.append(b"".join(map(local.__getitem__, found)))
+                    self.cache, self.older = {}, {s: ids for s, ids in young.items() if len(s) <= 24}
             ids = b"".join(parts)
             if not self.byte_fallback and parts:  # neighbouring unknown characters are one id
                 a = np.frombuffer(ids, np.int32)
@@ -340,6 +340,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                 if decoded:
                     new[decoded] = pa.array([c.decode(memoryview(x).cast("i").tolist()) for x in found], pa.string())
                 yield with_columns(part, new)
+        c.forget()
+        trim()
 
     new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
     return df.mapInArrow(run, _extended(df, new))

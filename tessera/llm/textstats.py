@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, with_columns
+from .common import slices, trim, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,6 +116,7 @@ def add_stats(df: DataFrame, f: Callable[[str | None], tuple], names: list[str],
                 rows = [f(t) for t in part.column(text).to_pylist()]
                 kept = part if keep_text else part.select([c for c in part.schema.names if c != text])
                 yield with_columns(kept, {name: pa.array(column, arrow) for name, column in zip(names, zip(*rows))})
+        trim()
 
     schema = [x for x in df.schema.fields if (keep_text or x.name != text) and x.name not in names] + [T.StructField(n, kind) for n in names]
     return df.mapInArrow(run, T.StructType(schema))

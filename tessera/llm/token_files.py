@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, word_spans
+from .common import slices, trim, word_spans
 
-#: Words kept per Python worker with their ids; half of them new, half those that were in use before.
-CACHE_WORDS = 500_000
+#: Words kept during a task with their ids; half of them new, half those that were in use before.
+CACHE_WORDS = 400_000
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
@@ -143,6 +143,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
                     names=["seq", "doc_id", "n_tokens", "ids"],
                 )
                 seq += n
+        enc.young, enc.old = {}, {}
+        trim()
 
     out = rows.drop("_h").select("doc_id", "text").mapInArrow(run, T.StructType(SCHEMA.fields[1:]))
     out.select(F.spark_partition_id().cast("long").alias("part"), *SCHEMA.names[1:]).write.options(**FORMAT).parquet(path)
