@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, quality_gbt, quality_rules, sentencepiece_bpe
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded, materialize
 from tessera.llm.queries import tokenizer_path
 
 
+def _bounded(stage):
+    """The stage with small Arrow batches."""
+    return lambda spark, docs, sf_dir: stage(bounded(spark), docs, sf_dir)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of these documents and drops those it rates low."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,11 +49,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("quality rules", quality_rules_stage),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources to target weights", source_mix),
-    ("SentencePiece encoding", tokens),
+    ("quality classifier", _bounded(quality_classifier)),
+    ("quality rules", _bounded(quality_rules_stage)),
+    ("n-gram Jaccard join", _bounded(near_duplicates)),
+    ("mixing sources to target weights", _bounded(source_mix)),
+    ("SentencePiece encoding", _bounded(tokens)),
 ]
 
 #: Trained trees, iterated estimates and classes of linked documents are beyond SQL; tests compare with brute force.
