@@ -43,6 +43,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
