@@ -1,10 +1,12 @@
 """License scan: lines and whole texts against licence templates, by the Dice coefficient of word bigrams.
 
 Texts are normalised (lower case, words of letters, digits and dots). With threshold t only templates whose number
-of bigrams is between t / (2 - t) and (2 - t) / t times the text's can reach it; others are not compared.
+of bigrams is between t / (2 - t) and (2 - t) / t times the text's can reach it; others are not compared. Reading
+stops where a text or line has more distinct bigrams than the largest template allows, so it costs and keeps little.
 
-Defined results: null and empty texts match nothing; of equal coefficients the first template wins; repeated
-rows are scanned each; empty tables give empty results.
+Defined results: null and empty texts, texts of one word and texts without letters or digits match nothing, and
+nothing matches an empty list of templates; of equal coefficients the first template wins; repeated rows are scanned
+each; null doc_ids stay null; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, trim
 
 #: Common one-line licence notices.
 TEMPLATES = {
@@ -25,26 +28,38 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
-_WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
+_WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*").finditer
 
 
-def bigrams(text: str) -> set[tuple[str, str]]:
-    w = _WORDS(text.lower())
-    return set(zip(w, w[1:]))
+def bigrams(text: str, limit: float = float("inf")) -> set[tuple[str, str]]:
+    """The distinct word bigrams; none of a text that has more than ``limit``."""
+    found: set[tuple[str, str]] = set()
+    before = None
+    for m in _WORDS(text):
+        word = m[0].lower()
+        if before is not None:
+            found.add((before, word))
+            if len(found) > limit:
+                return set()
+        before = word
+    return found
 
 
 def best(text: str | None, templates: dict[str, set], threshold: float) -> tuple[str | None, float]:
     """The template nearest to the whole text or a line of it, if any reaches the threshold."""
-    found: tuple[str | None, float] = (None, 0.0)
-    largest = max(map(len, templates.values()), default=0) * (2 - threshold) / threshold
-    for part in {text or "", *(text or "").split("\n")}:
-        b = bigrams(part)
-        for name, t in templates.items() if b and len(b) <= largest else ():
-            if threshold * max(len(b), len(t)) <= (2 - threshold) * min(len(b), len(t)):
+    if not text or not templates:
+        return None, 0.0
+    ratio = (2 - threshold) / threshold
+    largest = max(map(len, templates.values())) * ratio
+    first, score = len(templates), 0.0
+    for part in {text, *text.split("\n")}:
+        b = bigrams(part, largest)
+        for place, t in enumerate(templates.values()):
+            if b and t and max(len(b), len(t)) <= ratio * min(len(b), len(t)):
                 dice = 2 * len(b & t) / (len(b) + len(t))
-                if dice >= threshold and dice > found[1]:
-                    found = (name, dice)
-    return found
+                if dice >= threshold and (dice, -place) > (score, -first):
+                    first, score = place, dice
+    return [*templates, None][first], score
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -57,5 +72,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             for piece in slices(batch, "text"):
                 got = [best(t, known, threshold) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
+        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -50,6 +50,24 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+_SQL["op2_license_scan"] = r"""
+with templates(place, license, template) as (values
+         (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+         (2, 'MIT', 'Released under the MIT License.'),
+         (3, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+         (4, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.')),
+     d as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
+     parts as (select n, unnest(list_distinct(list_append(string_split(text, chr(10)), text))) as part from d),
+     words as (select n, regexp_extract_all(lower(part), '[\p{L}\p{N}]+(?:\.[0-9]+)*') as w from parts),
+     known as (select place, license, regexp_extract_all(lower(template), '[\p{L}\p{N}]+(?:\.[0-9]+)*') as w from templates),
+     b as (select n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from words where len(w) > 1),
+     t as (select place, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as t from known),
+     scored as (select n, place, license, 2 * len(list_intersect(b, t)) / (len(b) + len(t)) as dice from b, t),
+     best as (select * from scored where dice >= 0.8 qualify row_number() over (partition by n order by dice desc, place) = 1)
+select doc_id, license, coalesce(dice, 0.0::double) as dice from d left join best using (n)
+"""
+
+
 @register
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing

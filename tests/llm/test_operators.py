@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, linkgraph, mixing, quality_gbt, quality_rules, token_files, vamana, warc
+from tessera.llm import jaccard_join, license_scan, linkgraph, mixing, quality_gbt, quality_rules, token_files, vamana, warc
 from tessera.llm import sentencepiece_bpe as sp
 from tessera.llm.common import scratch_path
 from tessera.llm.components import components
@@ -45,6 +45,40 @@ def test_sentencepiece_is_the_librarys(spark, docs):
     assert sp.encode(docs.limit(0), path).count() == 0
 
 
+def _plain_scan(text, templates, threshold):
+    def pairs(t):
+        w = re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
+        return {(w[i], w[i + 1]) for i in range(len(w) - 1)}
+
+    scores = []
+    for part in [text or "", *(text or "").split("\n")]:
+        for place, (name, t) in enumerate(templates.items()):
+            a, b = pairs(part), pairs(t)
+            if a and b and (dice := 2 * len(a & b) / (len(a) + len(b))) >= threshold:
+                scores.append((-dice, place, name))
+    return (min(scores)[2], -min(scores)[0]) if scores else (None, 0.0)
+
+
+def test_license_scan(spark, docs):
+    rnd = random.Random(8)
+    known = license_scan.TEMPLATES
+    words = sorted({w for t in known.values() for w in t.split()}) + ["x", "LICENSE", "3.0.1", "_"]
+    texts = ["", None, "MIT", "....", "Licensed", *known.values(), "\n".join(known.values()), " ".join(known.values()) * 50, "Released under the MIT License. " * 400]
+    for _ in range(500):
+        w = rnd.choice(list(known.values())).split()
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(words).upper()
+        w += [rnd.choice(words) for _ in range(rnd.choice([0, 0, 1, 30]))]
+        texts.append("\n".join(rnd.sample([" ".join(w), "some other line", "", "a"], 3)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for threshold in (0.5, 0.8, 1.0):
+        found = {r.doc_id: (r.license, r.dice) for r in license_scan.scan(df, threshold=threshold).collect()}
+        assert found == {i: _plain_scan(t, known, threshold) for i, t in enumerate(texts)}
+    assert {r.license for r in license_scan.scan(df).collect()} == {None, *known}
+    assert {tuple(r)[1:] for r in license_scan.scan(docs.withColumn("license", F.lit(1))).collect()} == {(None, 0.0)} and license_scan.scan(docs).count() == docs.count()
+    assert {r.license for r in license_scan.scan(df, {}).collect()} == {None} and license_scan.scan(df.limit(0)).count() == 0
+
+
 def test_mixing(spark, docs):
     found = mixing.mix(docs).collect()
     assert len(found) == docs.count()
