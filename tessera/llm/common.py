@@ -136,10 +136,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return p[:n]
 
 
-def word_spans(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_POINTS = np.zeros(256, bool)
+_POINTS[list(b".,!?;:")] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[list(range(65, 91)) + list(range(97, 123))] = True
+#: Second bytes of the letters whose first byte in UTF-8 is C3.
+_LATIN = np.zeros(256, bool)
+_LATIN[list({*range(0x80, 0xC0)} - {0x97, 0xB7})] = True
+
+
+def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a string column, found on its buffer: (bytes, starts, stops, 64-bit hashes, first word of each text).
 
-    The last array has one entry more than there are texts. With ``lower`` A-Z hash as a-z. Null is empty.
+    The last array has one entry more than there are texts. With ``lower`` A-Z hash as a-z.
+    With ``points`` a point, comma or the like that ends a word after a Latin letter is a word of its own. Null is empty.
     """
     if texts.null_count:
         texts = texts.fill_null("")
@@ -164,6 +174,12 @@ def word_spans(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     closing = np.append(ends[:-1] & ~ends[1:], ends[-1:])
     closing[last] |= ends[last]
     stop = np.flatnonzero(closing) + 1
+    if points:
+        before = raw[np.maximum(stop - 2, 0)]
+        letter = _LETTERS[before] | _LATIN[before] & (stop - begins_at > 2) & (raw[np.maximum(stop - 3, 0)] == 0xC3)
+        cut = np.flatnonzero(_POINTS[raw[stop - 1]] & (stop - begins_at > 1) & letter)
+        at_point = stop[cut] - 1
+        begins_at, stop = np.insert(begins_at, cut + 1, at_point), np.insert(stop, cut, at_point)
     total = np.zeros(len(raw) + 1, np.uint64)
     codes = (_LOWER[raw] if lower else raw).astype(np.uint64)
     codes += np.uint64(1)

@@ -12,6 +12,8 @@ texts' hashes; an empty table writes no rows and reads back empty; other columns
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -49,11 +51,14 @@ class WordEncoder:
     """A tokenizer whose pre-tokenizer never crosses white space, with a cache by word.
 
     Normaliser, pre-tokenizer and merges of such a tokenizer see every run between white space alone, so the
-    ids of a text are those of its words in turn. Words not in the cache are encoded by the library in joined
-    batches, with a control character as a word between them whose single id shows where each word ends.
-    Ids are kept as little-endian int32 bytes.
+    ids of a text are those of its words in turn; likewise it parts a point or comma from the letter before.
+    Words not in the cache are encoded by the library in joined batches. Words of letters alone end at tokens
+    with the vocabulary's word end; between others stands a control character as a word, whose single id shows
+    where each ends. Ids are kept as little-endian int32 bytes.
     """
 
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
     MARK = "\x01"
     BATCH = 1000
 
@@ -62,6 +67,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._plain([self.MARK])[0]
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = spec["normalizer"] or {}
+        heads = {t["content"][:2] for t in spec["added_tokens"]}  # these match before letters are lowered
+        self.added = re.compile("|".join(map(re.escape, heads)).encode() or b"(?!)")
+        self.lowers = any(n.get("type") == "Lowercase" for n in steps.get("normalizers", [steps])) and not any(c.isalpha() for h in heads for c in h)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
@@ -69,27 +84,58 @@ class WordEncoder:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of every word."""
         texts = [w.decode() for w in words]
-        if len(self.mark) != 1 or any(self.MARK in t for t in texts):
-            return [x.tobytes() for x in self._plain(texts)]
-        out: list[bytes] = []
-        between = f" {self.MARK} "
-        for ids in self._plain([between.join(texts[k : k + self.BATCH]) for k in range(0, len(texts), self.BATCH)]):
-            data, a = ids.tobytes(), 0
-            for b in (np.flatnonzero(ids == self.mark[0]) * 4).tolist():
-                out.append(data[a:b])
-                a = b + 4
-            out.append(data[a:])
-        assert len(out) == len(words)
+        simple = [i for i, t in enumerate(texts) if self.LETTERS(t)] if self.ends.any() else []
+        out: list[bytes] = [b""] * len(texts)
+        self._fill(out, texts, simple, " ", self._after_ends)
+        rest = sorted(set(range(len(texts))).difference(simple))
+        if len(self.mark) == 1 and not any(self.MARK in texts[i] for i in rest):
+            self._fill(out, texts, rest, f" {self.MARK} ", self._at_marks)
+        else:
+            for i, ids in zip(rest, self._plain([texts[i] for i in rest])):
+                out[i] = ids.tobytes()
         return out
 
+    def _fill(self, out: list[bytes], texts: list[str], which: list[int], between: str, cuts) -> None:
+        joined = [between.join(texts[i] for i in which[k : k + self.BATCH]) for k in range(0, len(which), self.BATCH)]
+        k = 0
+        for ids in self._plain(joined):
+            data = ids.tobytes()
+            for a, b in zip(*cuts(ids)):
+                out[which[k]] = data[a:b]
+                k += 1
+        assert k == len(which)
+
+    def _after_ends(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
+        stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        return [0, *stop[:-1]], stop
+
+    def _at_marks(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
+        marks = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+        return [0, *(m + 4 for m in marks)], [*marks, len(ids) * 4]
+
+    def _caseless(self, texts: pa.Array) -> bool:
+        """Whether A-Z may count as a-z: the tokenizer lowers them, and there is no mark that joins the letter before.
+
+        Bytes from CC up begin characters from U+0300 up, the first such mark. What may be an added token is told
+        apart by case as well.
+        """
+        data = texts.buffers()[2]
+        part = texts.offset, texts.offset + len(texts)
+        if not self.lowers or data is None or not len(texts):
+            return False
+        at = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+        codes = np.frombuffer(data, np.uint8)[at[part[0]] : at[part[1]]]
+        return bool(codes.max(initial=0) < 0xCC) and not self.added.search(codes.data)
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.ListArray:
         """The ids of every text of a column, each followed by ``end_id``.
 
         Words are told apart by 64-bit hashes; each distinct one is looked up once, and the ids of all words
         are gathered in one indexing.
         """
-        raw, start, stop, hashes, first = word_spans(texts)
+        raw, start, stop, hashes, first = word_spans(texts, lower=self._caseless(texts), points=self.ends.any())
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         young, old = self.young, self.old

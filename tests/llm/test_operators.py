@@ -201,6 +201,18 @@ def test_token_files(spark, docs):
         start += len(ids)
 
 
+def test_word_encoder_is_the_librarys():
+    from tokenizers import Tokenizer
+
+    name, rnd = tokenizer_path("word_bpe_49k.json"), random.Random(6)
+    lib, own = Tokenizer.from_file(name), token_files.WordEncoder(name)
+    for letters in ("abHhTSs     .,!?'é÷×Éßÿ\n19|", "aHhTt   .,'é\u0331\u0308\u0301İΣσ😀漢\x01\xa0\x85<|endoftext|>"):
+        for _ in range(60):
+            texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(30)] + [None, "", "A<|EndOfText|>. a<|endoftext|>."][: rnd.randint(2, 3)]
+            found = own.encode(pa.array(texts, pa.string()).slice(1), 2).to_pylist()
+            assert found == [lib.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[1:]]
+
+
 def test_warc(spark):
     big = "é" * 60
     data = [(1, "http://b.org/x", big), (2, "http://a.org/y\r\nX: 1", big), (3, None, None), (4, "no scheme", "WARC/1.1\r\n\r\n\r\n" * 20), (5, "http://a.org/y", "s"), (6, "http://a.org/y", "s"), (None, "http://c.org", big)]
