@@ -8,8 +8,8 @@ the wanted share are added up, so the largest group costs no more than any other
 start is each coordinate's median and median deviation, read from counts on a fine grid. Documents whose
 squared Mahalanobis distance is above ``cutoff`` are rejected.
 
-A floor added to the variances keeps statistics that are the same in most of a group (no symbols at all) from
-rejecting harmless deviations. Groups of fewer than ``min_rows`` rows are estimated together by language, and
+A floor added to the variances, the resolution of the statistics in the shortest text that passes the base rules,
+keeps statistics that are the same in most of a group (no symbols at all) from rejecting deviations of one count. Groups of fewer than ``min_rows`` rows are estimated together by language, and
 languages of fewer than that together.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are
@@ -19,7 +19,7 @@ groups of their own; repeated rows count each; empty tables give empty results;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,11 @@ from .common import materialize
 from .textstats import RULE_STATS, add_stats, rule_stats
 
 VECTOR = ["v_length", "v_symbols", "v_upper", "v_stops", "v_lines", "v_repeats"]
-#: Standard deviations, in the transformed units below, that are never counted as strange.
-FLOOR = [0.08, 0.12, 0.12, 0.12, 0.10, 0.10]
+#: Words of the shortest text that passes the base rules.
+MIN_WORDS = 20
+#: Standard deviations, in the transformed units below, that are never counted as strange: one character, mark,
+#: capital, stop, repeated line or repeated word more or less in MIN_WORDS words (a word has a character at least).
+FLOOR = [log1p(1 + 1 / MIN_WORDS) - log1p(1), *[log1p(1 / MIN_WORDS)] * 3, *[1 / MIN_WORDS] * 2]
 #: Squared distance that one of a million rows passes if the vectors are normal (chi-square, 6 degrees of freedom).
 CUTOFF = 38.26
 #: Grid of the medians: cells per unit; the transformed statistics lie in 0 to a few units.
@@ -145,7 +148,7 @@ def _step(rows: DataFrame, now: DataFrame, share: float, factor: float) -> DataF
 
 
 def _failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def estimate(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -264,6 +264,17 @@ def test_quality_rules(spark, docs):
     assert quality_rules.assess(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_by_kind(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = F.size(F.expr("filter(split(text, ' '), w -> w rlike '(###|[$]{3}|%%%|&&&|[*]{3})')"))
+    pipes = F.size(F.expr("filter(split(text, ' '), w -> w = '|')"))
+    kinds = d.select("doc_id", F.when(5 * pipes > F.size(F.split("text", " ")), "pipes").when(5 * marks > F.size(F.split("text", " ")), "marks").otherwise("other").alias("kind"))
+    judged = quality_rules.assess(d).join(kinds, "doc_id").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left").where("not base_failed").toPandas()
+    gone = lambda x: 1 - x.kept.mean()
+    assert gone(judged[judged.kind == "pipes"]) > 0.9 and gone(judged[judged.kind == "marks"]) > 0.9
+    assert gone(judged[judged.quality == 0]) > 0.9 and gone(judged[judged.quality == 1]) < 0.01
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16))
