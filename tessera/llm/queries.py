@@ -47,7 +47,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
 
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan_windows(table(spark, sf_dir, "documents"))
 
 
 _SQL["op2_license_scan"] = r"""

@@ -1,6 +1,7 @@
 """Each operator against brute force, round trips and held-out labels, on small and awkward inputs."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -147,6 +148,28 @@ def _brute_classes(texts, k, num, den):
     return sets, [top(i) for i in range(len(sets))]
 
 
+def test_license_windows(spark):
+    from tessera.llm.queries import queries
+
+    known = license_scan.LICENSES
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    cases = [("some words before " + wrap(t, 7) + "\nand more words after it " * 9, name) for name, t in known]
+    cases += [
+        ("This work is licensed under the\nGNU General Public License, version 3.", "GPL-3.0"),
+        ("Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("This software is released under the MIT License.", "MIT"), ("", None), (None, None), ("no licence at all " * 40, None), ("Licensed", None),
+    ]
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause")):
+        if os.path.exists(path := f"/usr/share/common-licenses/{file}"):
+            cases.append((open(path).read(), name))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    found = {r.doc_id: (r.license, r.dice) for r in license_scan.scan_windows(df).collect()}
+    assert [found[i][0] for i in range(len(cases))] == [name for _, name in cases]
+    assert all(found[i][1] == 1.0 for i in range(len(known)))
+    same = sorted(map(repr, rows(queries()["op2_license_scan"](spark, DIR))))
+    assert same == sorted(map(repr, rows(license_scan.scan(spark.read.parquet(f"{DIR}/documents.parquet")))))
+
+
 def test_jaccard_join(spark, docs):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(400)]
