@@ -68,3 +68,15 @@ SQL = {
     "pipeline_join_agg_sort_limit": """select n.n_name as country, round(sum(o.o_totalprice),2) as total, count(*) as n_orders from nation n join customer c on n.n_nationkey=c.c_nationkey join orders o on c.c_custkey=o.o_custkey where o.o_orderstatus<>'F' group by n.n_name order by total desc nulls last, country asc nulls last limit 10""",
     "pipeline_left_join_filter_sort": f"""with {_NC}, {_NO} select nc.name as name, no.price as amount from nc left join no on nc.id=no.ck where no.price is not null order by amount asc nulls last, name asc nulls last limit 100""",
 }
+
+#: The same views over every row; orders of a quarter of the customers have the key of no customer.
+_NO_WHOLE = """no as (select o_orderkey, case when o_orderkey%7=0 then null when o_custkey%4=0 then -o_custkey else o_custkey end as ck, case when o_orderkey%5=0 then null else o_totalprice end as price, o_orderstatus as st from orders)"""
+_NC_WHOLE = """nc as (select c_custkey as id, c_name as name, case when c_custkey%6=1 then null else c_mktsegment end as seg, c_nationkey as nk from customer)"""
+_S2_WHOLE = "s2 as (select s_suppkey, s_nationkey from supplier), n2 as (select n_nationkey, n_name from nation)"
+
+SQL |= {f"{name}_whole": sql.replace(_NO, _NO_WHOLE).replace(_NC, _NC_WHOLE).replace(_S2, _S2_WHOLE) for name, sql in SQL.items() if not name.startswith("sort_") and (_NO in sql or _NC in sql or _S2 in sql)}
+SQL |= {
+    "sort_asc_nulls_last_whole": f"""with {_NO_WHOLE} select o_orderkey, price from no order by price asc nulls last, o_orderkey asc nulls last""",
+    "sort_desc_nulls_last_whole": f"""with {_NO_WHOLE} select o_orderkey, price from no order by price desc nulls last, o_orderkey asc nulls last""",
+    "sort_null_tail_whole": f"""with {_NO_WHOLE} select o_orderkey, price from no order by price desc nulls last, o_orderkey asc nulls last offset 100""",
+}

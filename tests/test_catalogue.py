@@ -39,3 +39,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark, db):
+    found = queries()
+    all_of = lambda table: db.execute(f"select count(*) from {table}").fetchone()[0]
+    assert found["nl_join_left_whole"](spark, DIR).select("s_suppkey").distinct().count() == all_of("supplier")
+    assert found["hash_join_right_whole"](spark, DIR).count() == all_of("orders")
+    prices = [r.price for r in found["sort_asc_nulls_last_whole"](spark, DIR).collect()]
+    assert len(prices) == all_of("orders") and prices[-1] is None and prices[0] is not None
