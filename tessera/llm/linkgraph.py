@@ -6,7 +6,8 @@ from a blocked host to those that link to it. Mass that reaches a host without a
 A host is blocked when its distrust is above ``ratio`` times its trust; one without either is allowed.
 
 Only DataFrame functions run. Pages are reduced to one row per pair of hosts before any iteration, and each
-iteration ends in a written table, so lineage stays short.
+iteration ends in a written table, so lineage stays short. Iteration goes on until a step moves less than
+``tolerance`` in all; as each shrinks the moves by ``damping``, the rounds this takes at most are known before.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and is allowed; a null
 html has no links; repeated pages count each; of rules that fit, the longest text wins, of equal ones the one
@@ -15,6 +16,8 @@ with the longer host, then the first listed; other columns are ignored. An empty
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +59,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """(host, trust, distrust). ``seeds``: host, trust0, distrust0 of every host with a page, each summing to 1 or 0."""
+def enough_rounds(damping: float, tolerance: float) -> int:
+    """Rounds after which a step moves less than ``tolerance``: trust and distrust each move 2 * damping ** n at most in round n."""
+    return 2 if damping <= 0 else max(1, ceil(log(tolerance / 4) / log(damping)) + 1)
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """(host, trust, distrust). ``seeds``: host, trust0, distrust0 of every host with a page, each summing to 1 or 0.
+
+    Fails if ``rounds`` (None: as many as the tolerance can need) end before the tolerance is met.
+    """
+    rounds = enough_rounds(damping, tolerance) if rounds is None else rounds
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("links").alias("out_links"))
     into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("links").alias("in_links"))
     nodes = seeds.join(out, "host", "full").join(into, "host", "full")
@@ -86,10 +98,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, t
         now = step.drop("moved")
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks of hosts not settled to {tolerance} after {rounds} rounds")
     return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, ratio: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, host_trust and host_distrust of every page."""
     known = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "html")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)

@@ -346,3 +346,14 @@ def test_pipeline_stages(spark):
         assert d.columns == columns and d.count(), name
     last = corpus_pipeline.STAGES[-1][1](spark, d, DIR)
     assert last.count() == d.count() and last.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_link_graph_settles(spark):
+    assert all(4 * d ** linkgraph.enough_rounds(d, t) < t for d in (0.3, 0.85, 0.99) for t in (1e-3, 1e-6))
+    n = 34  # each host links to the one before, the first is blocked
+    data = [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}.net/">x</a>' if i else "") for i in range(n)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    with pytest.raises(RuntimeError):
+        linkgraph.judge(pages, [("h0.net", "/", "block")], rounds=2)
+    found = linkgraph.judge(pages, [("h0.net", "/", "block")], damping=0.5, tolerance=1e-10).collect()
+    assert {r.verdict for r in found} == {"block"} and min(r.host_distrust for r in found) > 0
