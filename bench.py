@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import random
 import sys
 import time
 from statistics import median
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera import Catalog, avg, col, count, desc, scan, sum_, to_dataframe
+from tessera.__main__ import generated, shapes
 from tessera.catalogue import queries
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -25,32 +24,15 @@ def noop(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def generated(spark: SparkSession) -> Catalog:
-    """1,000 customers and a million orders, seeded; kept in memory as the published figures' inputs are."""
-    r = random.Random(42)
-    c = Catalog(spark)
-    c.add_rows("customers", {"id": "INTEGER", "country": "STRING"}, [{"id": i, "country": r.choice(["US", "UK", "ES", "DE"])} for i in range(1000)])
-    orders = spark.range(ORDERS, numPartitions=int(CPUS)).select("id", F.floor(F.rand(42) * 1000).cast("long").alias("customer_id"), (F.rand(43) * 499 + 1).alias("amount"))
-    orders = orders.cache()
-    orders.count()
-    return c.add("orders", orders)
-
-
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    made, files = generated(spark), Catalog(spark, SF_DIR)
-    equal = col("c.id").eq(col("o.customer_id"))
-    joined = scan("customers", "c").join(scan("orders", "o"), equal, strategy="hash")
-    total = sum_(col("o.amount"))
-    plans = {
-        "gen_scan_filter": (scan("orders").where(col("amount") > 250.0), made),
-        "gen_hash_join": (joined, made),
-        "gen_join_sum": (joined.group("c.country").agg(total), made),
-        "gen_sort_desc": (scan("orders").sort(desc("amount")), made),
+    # a million payments of 1,000 accounts, seeded; in memory as the published figures' inputs are
+    made, files = generated(spark, ORDERS, 42, int(CPUS)), Catalog(spark, SF_DIR)
+    plans = {f"gen_{name}": (plan, made) for name, plan in shapes().items()} | {
         "file_scan_filter": (scan("lineitem").where(col("l_quantity") > 25.0), files),
         "file_join": (scan("customer", "c").join(scan("orders", "o"), col("c.c_custkey").eq(col("o.o_custkey")), strategy="hash"), files),
         "file_join_sum": (

@@ -29,15 +29,17 @@ def distinct_names(names: list[str]) -> list[str]:
     return names
 
 
+def matches(name: Name, schema: T.StructType) -> list[str]:
+    """The columns that ``name`` may stand for."""
+    wanted = text(name)
+    return [n for n in schema.names if n == wanted or not name.table and n.endswith("." + wanted)]
+
+
 def resolve(name: Name, schema: T.StructType) -> str:
     """The full column name that ``name`` stands for."""
-    wanted = text(name)
-    if name.table:
-        found = [n for n in schema.names if n == wanted]
-    else:
-        found = [n for n in schema.names if n == wanted or n.endswith("." + wanted)]
+    found = matches(name, schema)
     if len(found) != 1:
-        raise UnresolvedColumnError(wanted, "ambiguous" if found else "no such column")
+        raise UnresolvedColumnError(text(name), "ambiguous" if found else "no such column")
     return found[0]
 
 
@@ -80,18 +82,20 @@ def _compare(op: str, a: Typed, b: Typed) -> Column:
     return {"EQ": x == y, "NEQ": x != y, "LT": x < y, "LE": x <= y, "GT": x > y, "GE": x >= y}[op]
 
 
+def _widened(t: Typed) -> Typed:
+    """Whole numbers compute with 64 bits, whatever their column stores."""
+    return Typed(t.column.cast("long"), _LONG, t.constant) if isinstance(t.type, T.IntegralType) and t.type != _LONG else t
+
+
 def _arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     if not {a.kind, b.kind} <= {"number", "null"}:
         raise _reject(_SYMBOL[op], a, b)
+    a, b = _widened(a), _widened(b)
     x, y = a.column, b.column
-    if a.constant and b.constant:  # small literals are 32-bit; their result may not be
-        x, y = (c.cast("long") if isinstance(s.type, T.IntegerType) else c for c, s in ((x, a), (y, b)))
-        a, b = (Typed(s.column, _LONG if isinstance(s.type, T.IntegerType) else s.type, True) for s in (a, b))
     if op == "DIV":
         return Typed(x / y, _DOUBLE)
     real = any(isinstance(s.type, T.FractionalType) for s in (a, b))
-    whole = max((s.type for s in (a, b) if s.kind == "number"), key=lambda t: isinstance(t, T.LongType), default=_LONG)
-    kind = _DOUBLE if real else whole
+    kind = _DOUBLE if real else _LONG
     if op == "MOD":  # the sign of the divisor, not of the dividend
         r = x % y
         return Typed(F.when((r != 0) & ((r < 0) != (y < 0)), r + y).otherwise(r), kind)
@@ -146,6 +150,7 @@ def typed(e: Expr, schema: T.StructType) -> Typed:
             t = typed(operand, schema)
             if t.kind not in ("number", "null"):
                 raise _reject(op, t)
+            t = _widened(t)
             return Typed(-t.column if op == "NEG" else t.column, t.type)
         case Between(operand, low, high, negated):
             x, lo, hi = (typed(y, schema) for y in (operand, low, high))

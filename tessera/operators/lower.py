@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MemoryLimitExceededError, UnsupportedExpressionError, UnsupportedJoinConditionError, UnsupportedOperatorError
-from ..functions.columns import aggregate, distinct_names, predicate, projected, quoted, resolve
+from ..functions.columns import aggregate, distinct_names, matches, predicate, projected, quoted, resolve
 from ..functions.expr import Binary, Name, Star, text
 from ..plans import nodes as P
 from ..sources.catalog import TableSource
 
 
+#: Catalyst's size of a relation without an estimate.
+_UNKNOWN = 2**63 - 1
+
+
 @dataclass
 class Context:
     source: TableSource
@@ -27,10 +31,15 @@ class Context:
     admitted: int = 0
 
     def admit(self, operator: str, df: DataFrame) -> None:
-        """An admission guard by Catalyst's size estimate; Spark itself spills and needs none."""
+        """An admission guard by Catalyst's size estimate; Spark itself spills and needs none.
+
+        Where a leaf has no estimate (an RDD), nothing is known and nothing refused.
+        """
         if self.memory_limit is None:
             return
         need = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if need >= _UNKNOWN:
+            return
         if self.admitted + need > self.memory_limit:
             raise MemoryLimitExceededError(operator, need, self.memory_limit)
         self.admitted += need
@@ -79,14 +88,12 @@ _HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full"}
 
 
 def _one_equality(condition, left: DataFrame, right: DataFrame) -> None:
-    def side(e) -> str | None:
-        found = []
-        for label, df in (("left", left), ("right", right)):
-            try:
-                resolve(e, df.schema)
-                found.append(label)
-            except Exception:  # noqa: BLE001  a name of the other side
-                continue
+    sides = {"left": left.schema, "right": right.schema}
+
+    def side(e: Name) -> str | None:
+        found = [label for label, schema in sides.items() if matches(e, schema)]
+        for label in found:
+            resolve(e, sides[label])  # a name that is ambiguous on its own side is an error of that kind
         return found[0] if len(found) == 1 else None
 
     if not (isinstance(condition, Binary) and condition.op == "EQ" and isinstance(condition.left, Name) and isinstance(condition.right, Name)):

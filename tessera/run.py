@@ -7,6 +7,7 @@ from dataclasses import fields
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .errors import translated
 from .operators.lower import Context, lower
@@ -25,35 +26,33 @@ def to_dataframe(plan: Node | Query, source: TableSource, **options) -> DataFram
     return lower(_tree(plan), Context(source, **options))
 
 
-def execute(plan: Node | Query, source: TableSource, **options) -> Iterator[pa.RecordBatch]:
-    """Batches of the result. Errors in the plan show here, errors in the data on the first batch."""
+def execute(plan: Node | Query, source: TableSource, batch_rows: int = BATCH_ROWS, **options) -> Iterator[pa.RecordBatch]:
+    """Batches of the result. Errors in the plan show here, errors in the data on the first batch.
+
+    Executors write Arrow streams, which come to the driver a partition at a time.
+    """
     df = to_dataframe(plan, source, **options)
+    schema = to_arrow_schema(df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(schema))])
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["stream"])
 
     def batches() -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        schema = collect_schema(df)
         with translated():
-            for row in df.toLocalIterator(prefetchPartitions=True):
-                rows.append(tuple(row))
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows, schema)
-                    rows = []
-        if rows:
-            yield _batch(rows, schema)
+            for row in plain.mapInArrow(streams, "stream binary").toLocalIterator(prefetchPartitions=True):
+                for batch in pa.ipc.open_stream(row.stream):
+                    for at in range(0, batch.num_rows, batch_rows):
+                        part = batch.slice(at, batch_rows)
+                        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema)], schema=schema)
 
     return batches()
 
 
-def collect_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
 def collect(plan: Node | Query, source: TableSource, **options) -> pa.Table:
     """The whole result; no rows still have their columns."""
     df = to_dataframe(plan, source, **options)

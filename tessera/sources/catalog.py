@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import UnknownTableError
 
@@ -30,10 +32,14 @@ class Catalog:
         return self
 
     def add_rows(self, name: str, columns: Mapping[str, str | T.DataType], rows: Sequence[Mapping[str, Any]]) -> Catalog:
-        """Rows as dicts: a missing key is NULL, other keys are ignored, values must be of the declared types."""
+        """Rows as dicts: a missing key is NULL, other keys are ignored, values must fit the declared types.
+
+        They become an Arrow table, whose size the optimiser knows.
+        """
         schema = T.StructType([T.StructField(c, TYPES[t] if isinstance(t, str) else t) for c, t in columns.items()])
-        values = [tuple(r.get(c) for c in schema.names) for r in rows]
-        return self.add(name, self.spark.createDataFrame(values, schema, verifySchema=True))
+        arrow = to_arrow_schema(schema)
+        values = pa.Table.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+        return self.add(name, self.spark.createDataFrame(values, schema))
 
     def table(self, name: str) -> DataFrame:
         if name in self._tables:

@@ -139,6 +139,28 @@ def test_hash_join_conditions(src):
             to_dataframe(scan("t").join(scan("u"), c, "inner", "hash"), src)
 
 
+def test_ambiguous_names_in_hash_joins(src):
+    both = scan("t", "x").join(scan("u", "y"))
+    with pytest.raises(UnresolvedColumnError):
+        to_dataframe(both.join(scan("e"), col("a").eq(col("k")), "inner", "hash"), src)
+
+
+def test_star_and_empty_sort(src):
+    assert collect(scan("u").select("*"), src).to_pylist() == collect(scan("u"), src).to_pylist()
+    with pytest.raises(UnsupportedExpressionError):
+        to_dataframe(scan("u").select("*", "a"), src)
+    assert collect(scan("u").sort(), src).to_pylist() == collect(scan("u"), src).to_pylist()
+
+
+def test_narrow_whole_numbers_compute_with_64_bits(spark):
+    df = spark.sql("select cast(50000 as int) as i, cast(100 as tinyint) as b, cast(30000 as smallint) as s, cast(-2147483648 as int) as m")
+    c = Catalog(spark).add("n", df)
+    i, b, s, m = map(col, ("i", "b", "s", "m"))
+    found = collect(scan("n").select((i * 100000).alias("p"), (b * b).alias("bb"), (s + s).alias("ss"), (-m).alias("nm"), (b % 7).alias("r")), c)
+    assert found.to_pylist() == [{"p": 5_000_000_000, "bb": 10_000, "ss": 60_000, "nm": 2**31, "r": 2}]
+    assert {str(t) for t in found.schema.types} == {"int64"}
+
+
 def test_limits(src):
     q = scan("t").sort("a")
     assert [r[0] for r in rows(q.limit(2, 1).select("a"), src)] == [3, 7]
@@ -156,11 +178,19 @@ def test_stable_order(spark):
 def test_execute_explain_and_guard(src):
     q = scan("t").where(col("a") > 0).sort("a").limit(1)
     assert sum(b.num_rows for b in execute(q, src)) == 1
+    batches = list(execute(scan("u").sort(desc("a")), src, batch_rows=2))
+    assert [b.num_rows for b in batches] == [2, 1] and [r for b in batches for r in b.to_pylist()] == collect(scan("u").sort(desc("a")), src).to_pylist()
+    with pytest.raises(DivisionByZeroError):
+        list(execute(scan("t").select((col("a") / 0).alias("x")), src))
     assert explain(q).splitlines() == [f"{'  ' * i}{n} (rows=0, cost=0.0)" for i, n in enumerate(("Limit", "Sort", "Filter", "Scan"))]
     assert collect(scan("t").where(lit(False)), src).schema.names == ["t.a", "t.b", "t.s", "t.f"]
     with pytest.raises(MemoryLimitExceededError) as e:
         to_dataframe(q, src, memory_limit=1)
     assert e.value.limit_bytes == 1 and e.value.operator_name == "Sort"
+    assert len(rows(q, src, memory_limit=1 << 20)) == 1
+    unknown = Catalog(src.spark).add("r", src.spark.sparkContext.parallelize([(1,)]).toDF("a long"))
+    assert rows(scan("r").sort("a"), unknown, memory_limit=1 << 20) == [(1,)]  # no estimate, no refusal
+
     class Odd(Node):
         pass
     with pytest.raises(UnsupportedOperatorError):
@@ -180,6 +210,35 @@ def test_pushdown(spark):
     assert "GreaterThan(l_quantity,45.0)" in plan and "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
+def test_command_line(spark, capsys):
+    from tessera.__main__ import benchmark, demo
+
+    demo(spark)
+    shown = capsys.readouterr().out
+    assert "mean by zone" in shown and "old quay" in shown and "NULL" in shown
+    benchmark(spark, 2000, 7)
+    assert "filter alone" in capsys.readouterr().out
+
+
+def test_new_nodes_register(src):
+    from dataclasses import dataclass
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.lower import lower
+
+    @dataclass(frozen=True)
+    class Doubled(Node):
+        input: Node
+
+    @lower.register
+    def _(node: Doubled, context):
+        df = lower(node.input, context)
+        return df.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+
+    assert to_dataframe(Doubled(scan("u").plan), src).count() == 6
+
+
 def test_streaming(spark, tmp_path):
     from tessera.streaming import start, stream_table
 
