@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,12 +111,13 @@ def id_lists(ids: list[bytes]) -> tuple[pa.ListArray, list[int]]:
     return pa.ListArray.from_arrays(pa.array(offsets), values), lengths
 
 
-_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of a word that are read as whole lanes of eight; longer words are hashed each by itself.
+LANE_BYTES = 64
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -125,17 +127,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = _POWERS.get(base)
-    if p is None or len(p) < n:
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        p = np.cumprod(p, dtype=np.uint64)
-        if n <= 2 * SLICE_BYTES:
-            _POWERS[base] = p
-    return p[:n]
-
-
 _POINTS = np.zeros(256, bool)
 _POINTS[list(b".,!?;:")] = True
 _LETTERS = np.zeros(256, bool)
@@ -145,10 +136,10 @@ _LATIN = np.zeros(256, bool)
 _LATIN[list({*range(0x80, 0xC0)} - {0x97, 0xB7})] = True
 
 
-def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a string column, found on its buffer: (bytes, starts, stops, 64-bit hashes, first word of each text).
+def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a string column, found on its buffer: (bytes, starts, stops, first word of each text).
 
-    The last array has one entry more than there are texts. With ``lower`` A-Z hash as a-z.
+    The last array has one entry more than there are texts. With ``lower`` A-Z are given as a-z.
     With ``points`` a point, comma or the like that ends a word after a Latin letter is a word of its own. Null is empty.
     """
     if texts.null_count:
@@ -160,7 +151,7 @@ def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tu
     at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n_docs + 1].astype(np.int64) if n_docs else np.zeros(1, np.int64)
     if at[-1] == at[0]:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint8), none, none, none.astype(np.uint64), np.zeros(n_docs + 1, np.int64)
+        return np.zeros(0, np.uint8), none, none, np.zeros(n_docs + 1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     inside = ~_SPACE[raw]
@@ -168,11 +159,10 @@ def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tu
     begins[1:] &= ~inside[:-1]
     cuts = at[:-1][at[:-1] < len(raw)]
     begins[cuts] |= inside[cuts]
-    ends = inside
     begins_at = np.flatnonzero(begins)
     last = at[1:][at[1:] > 0] - 1
-    closing = np.append(ends[:-1] & ~ends[1:], ends[-1:])
-    closing[last] |= ends[last]
+    closing = np.append(inside[:-1] & ~inside[1:], inside[-1:])
+    closing[last] |= inside[last]
     stop = np.flatnonzero(closing) + 1
     if points:
         before = raw[np.maximum(stop - 2, 0)]
@@ -180,11 +170,53 @@ def word_spans(texts: pa.Array, lower: bool = False, points: bool = False) -> tu
         cut = np.flatnonzero(_POINTS[raw[stop - 1]] & (stop - begins_at > 1) & letter)
         at_point = stop[cut] - 1
         begins_at, stop = np.insert(begins_at, cut + 1, at_point), np.insert(stop, cut, at_point)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    codes = (_LOWER[raw] if lower else raw).astype(np.uint64)
-    codes += np.uint64(1)
-    codes *= _powers(_BASE, len(raw))
-    np.cumsum(codes, out=total[1:])
-    word = (total[stop] - total[begins_at]) * _powers(pow(_BASE, -1, 1 << 64), len(raw))[begins_at]
-    word = mix(word + (stop - begins_at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return raw, begins_at, stop, word, np.searchsorted(begins_at, at)
+    return (_LOWER[raw] if lower else raw), begins_at, stop, np.searchsorted(begins_at, at)
+
+
+def of_letters(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which words consist of ASCII and Latin-1 letters alone."""
+    after_c3 = np.append(False, raw[:-1] == 0xC3) & _LATIN[raw]
+    good = _LETTERS[raw] | after_c3
+    good[:-1] |= after_c3[1:]
+    bad = np.append(0, np.cumsum(~good))
+    return bad[stop] == bad[start]
+
+
+def lanes(raw: np.ndarray, start: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
+    """The bytes of words of at most 8 * count bytes, as ``count`` rows of integers, zero beyond the word."""
+    data = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
+    out = np.zeros((count, len(start)), np.uint64)
+    if len(start):
+        out[0] = eight[start] & _LANE_MASKS[np.minimum(size, 8)]
+    for j in range(1, count):
+        longer = np.flatnonzero(size > 8 * j)
+        if not len(longer):
+            break
+        out[j, longer] = eight[start[longer] + 8 * j] & _LANE_MASKS[np.minimum(size[longer] - 8 * j, 8)]
+    return out
+
+
+def hash_lanes(rows: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words given as lanes: each lane goes through two rounds of multiplication."""
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    h = mix((h ^ rows[0]) * np.uint64(0xD6E8FEB86659FD93))
+    for j in range(1, len(rows)):
+        longer = np.flatnonzero(size > 8 * j)
+        if not len(longer):
+            break
+        h[longer] = mix((h[longer] ^ rows[j, longer]) * np.uint64(0xD6E8FEB86659FD93))
+    return h
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """One array of 64-bit hashes of all words for each seed."""
+    size = stop - start
+    width = max(1, min(LANE_BYTES, int(size.max(initial=1)) + 7) // 8)
+    rows = lanes(raw, start, np.minimum(size, 8 * width), width)
+    found = [hash_lanes(rows, size, s) for s in seeds]
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        word = raw[start[i] : stop[i]].data
+        for h, s in zip(found, seeds):
+            h[i] = xxhash.xxh3_64_intdigest(word, s)
+    return found

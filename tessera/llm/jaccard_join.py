@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, slices, trim, word_spans
+from .common import materialize, mix, slices, trim, word_hashes, word_spans
 from .components import components
 
 #: Members of a group of the matrix.
@@ -55,7 +55,8 @@ _MIN_HASHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    _, _, _, word, first = word_spans(texts, lower=True)
+    raw, start, stop, first = word_spans(texts, lower=True)
+    (word,) = word_hashes(raw, start, stop, 0)
     factor = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(k)]
     n_windows = max(0, len(word) - k + 1)
     window = word[:n_windows] * factor[0]
