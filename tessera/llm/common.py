@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+_LEFT: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's own.
 
@@ -31,7 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(path)
-    return f"{path.rstrip('/')}/tessera-{sc.applicationId}"
+    own = f"{path.rstrip('/')}/tessera-{sc.applicationId}"
+    if own not in _LEFT:  # what is not discarded before goes when the application ends
+        _LEFT.add(own)
+        place = sc._jvm.org.apache.hadoop.fs.Path(own)
+        files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return own
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -40,17 +51,56 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table of the scratch area and read it back: lineage ends at replicated files."""
+    path = scratch_path(df.sparkSession, tag)
+    with _released_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return _placed(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
+    """As ``materialize``, bucketed by ``column``: joins by it read the table without a shuffle."""
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, name = scratch_path(spark, tag), f"tessera_{uuid.uuid4().hex}"
+    with _released_shuffles(spark):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    made = spark.table(name)
+    made.schema  # resolved, so that the name is needed no more; the files stay
+    spark.sql(f"drop table {name}")
+    return _placed(made, path)
+
+
+def _placed(df: DataFrame, path: str) -> DataFrame:
+    df._scratch = path
+    return df
+
+
+@contextmanager
+def _released_shuffles(spark: SparkSession):
+    """Within, the engine drops a query's shuffle files when it ends: what it wrote is all that is needed."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            _delete(df.sparkSession, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables (call when no result that reads them is still needed)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 #: Bytes of an Arrow batch between the engine and Python; the engine's default is 16 times as much.
