@@ -114,11 +114,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL["op7_warc"] = """
 with p as (select page_id, coalesce(html, '') as h from pages),
      d as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
-     f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
-select page_id, payload_bytes, payload_digest,
-       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
-from f
+     f as (select *, min(page_id) over (partition by payload_digest) as first_id from d),
+     r as (select *, payload_bytes >= 100 and first_id is not null and page_id is distinct from first_id as again from f)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first_id end as refers_to
+from r
 """
 
 

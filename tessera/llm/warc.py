@@ -1,19 +1,21 @@
 """WARC archives of page captures, and their index merged from sorted runs.
 
-Writing: each page is one record. Payloads are hashed where they are read; only digests that occur more than
-once are joined back, so page bodies are shuffled only if that list is too long to broadcast. A record is one
+Writing: each page is one record. Payloads are hashed where they are read, and what repeats is found on narrow rows
+(page, digest, size). Revisits carry no payload and are written from those rows; responses are the pages that are no
+revisits, told apart by (page, digest), so no digest, however common, gathers page bodies in one task. A record is one
 string, its two closing line ends the separator of the engine's text writer: archives are plain WARC files,
-committed whole, in any store the engine writes to.
-
-Reading: whole archives, of at most ``RECORDS`` records each, parsed by Content-Length. The captures of one
-archive, sorted by URL key and time, are one run of the index, written as a table. Merging deals the runs'
-rows out by range of (URL key, time, page) and joins each range's runs with a k-way loser tree; in order of
-``part`` and ``at`` the result is the captures of all archives in global order, the history of each URL
-together.
-
-Defined results: null html is an empty payload, null url an empty target; line ends in a url are percent-coded; payloads under ``MIN_BYTES`` are always responses; a page_id that occurs more than once with
-the smallest id of its payload is a response each time; a null page_id is never the smallest, and a payload
-with no id but null ones is a response each time. Other columns are ignored; empty tables give empty results.
+committed whole, in any store the engine writes to. Pages of like size share archives, so that none has many more than
+``ARCHIVE_BYTES`` unless a single record has.
+
+Reading: whole archives, parsed by Content-Length. The captures of one archive, sorted by URL key and time, are one run
+of the index. Merging deals the runs' rows out by ranges of (URL key, time, page) of about ``RANGE`` captures, where they
+arrive run by run in order and are joined with a k-way loser tree; in order of ``part`` and ``at`` the result is the
+captures of all archives in global order, the history of each URL together.
+
+Defined results: null html is an empty payload, null url an empty target; line ends in a url are percent-coded; payloads
+under ``MIN_BYTES`` are always responses; a page_id that occurs more than once with the smallest id of its payload is a
+response each time; a null page_id is never the smallest, and a payload with no id but null ones is a response each
+time. Dates are in UTC. Other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import types as T
 from .common import materialize
 
 MIN_BYTES = 100
-#: Records of an archive file at most.
-RECORDS = 2048
+#: Bytes of an archive's payloads, and its records, at most (a single larger record is an archive of its own).
+ARCHIVE_BYTES, RECORDS = 64 << 20, 2048
+#: Captures of one merged range, about.
+RANGE = 50_000
 #: Captures without a date are dated one second apart from here, by page_id.
 FIRST_DATE = 1_577_836_800
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -54,44 +58,71 @@ CAPTURE = T.StructType(
 MERGED = T.StructType([*CAPTURE.fields, T.StructField("at", T.LongType())])
 
 
-def deduplicated(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Pages with payload, payload_bytes, payload_digest, record_type and refers_to."""
+def _known(pages: DataFrame) -> DataFrame:
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    known = known.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    firsts = known.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    firsts = materialize(firsts.where("n > 1 and first_id is not null").drop("n"), "repeated")
-    joined = known.join(firsts, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-    return joined.withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    return known.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+
+
+def deduplicated(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(responses with their payload, revisits without): page_id, url, payload_bytes, payload_digest, refers_to."""
+    known = _known(pages)
+    narrow = materialize(known.drop("payload"), "captures-narrow")
+    firsts = narrow.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    revisits = narrow.where(F.col("payload_bytes") >= min_bytes).join(firsts.where("n > 1 and refers_to is not null").drop("n"), "payload_digest")
+    revisits = materialize(revisits.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "revisits")
+    gone = revisits.select(F.col("page_id").alias("gone_id"), F.col("payload_digest").alias("gone_digest")).distinct()
+    same = known["page_id"].eqNullSafe(gone["gone_id"]) & (known["payload_digest"] == gone["gone_digest"])
+    responses = known.join(gone, same, "left_anti")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")), revisits
 
 
 def _id(c: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write one record per page to WARC files under ``path``."""
-    p = deduplicated(pages, min_bytes)
+def _date(seconds: Column) -> Column:
+    """Seconds since 1970 as a date and time in UTC, whatever the session's zone."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rest = F.pmod(seconds, F.lit(86_400))
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(F.pmod(rest, F.lit(3600)) / 60)), F.lit(":"), two(F.pmod(rest, F.lit(60))), F.lit("Z"))
+
+
+def _records(p: DataFrame, kind: str) -> DataFrame:
+    """The text of a record of each row but for its closing line ends."""
     seconds = F.lit(FIRST_DATE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    block = F.when(F.col("record_type") == "response", F.concat(F.lit(_HTTP), F.col("payload"))).otherwise(F.lit(_HTTP))
-    kind = F.when(F.col("record_type") == "response", "application/http; msgtype=response").otherwise("application/http")
-    refers = F.when(
-        F.col("record_type") == "revisit",
-        F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _id(F.col("refers_to")), F.lit("\r\n")),
-    ).otherwise("")
+    if kind == "response":
+        block, extra, content = F.concat(F.lit(_HTTP), F.col("payload")), F.lit(""), "application/http; msgtype=response"
+    else:
+        block, content = F.lit(_HTTP), "application/http"
+        extra = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _id(F.col("refers_to")), F.lit("\r\n"))
     record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: "), _id(F.col("page_id")),
-        F.lit("\r\nWARC-Date: "), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), _id(F.col("page_id")),
+        F.lit("\r\nWARC-Date: "), _date(seconds),
         F.lit("\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("payload_digest"),
-        F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"), refers,
-        F.lit("Content-Type: "), kind,
-        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
+        F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"), extra,
+        F.lit(f"Content-Type: {content}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
-    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).text(path)
+    return p.select(record.alias("value"))
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write one record per page to WARC files in folders under ``path``, one folder for each class of sizes."""
+    responses, revisits = deduplicated(pages, min_bytes)
+
+    def put(records: DataFrame, name: str, most: int) -> None:
+        records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(f"{path}/{name}")
+
+    put(_records(revisits, "revisit"), "revisits", RECORDS)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low, records = -1, RECORDS
+    while low < largest or low < 0:  # sizes up to archive_bytes / records, records sixteen times fewer each time
+        high = archive_bytes // records if records > 1 else largest
+        sized = responses.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        put(_records(sized, "response"), f"to-{high}", records)
+        low, records = max(high, 0), max(1, records // 16)
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -149,7 +180,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=_sort_key)
                 yield _batch(rows, CAPTURE)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CAPTURE)
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -199,21 +230,19 @@ class LoserTree:
             self._play(w)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, captures: int = RANGE) -> DataFrame:
     """Captures of all runs with ``part`` and ``at``: in that order they are sorted by URL key, time and page.
 
-    ``runs`` must be a written table, as the ranges are chosen by a first look at its keys.
+    ``runs`` must be a written table: it is counted, and looked at once to choose ranges of about ``captures`` rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_run: dict[str, list[tuple]] = {}
-        for batch in batches:
+        for batch in batches:  # run after run, each in order
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 by_run.setdefault(row[8], []).append(row)
-        for rows in by_run.values():  # blocks of a run may arrive in any order; sorted blocks make this cheap
-            rows.sort(key=_sort_key)
         out, at = [], 0
-        for row in LoserTree([by_run[r] for r in sorted(by_run)], _sort_key):
+        for row in LoserTree(list(by_run.values()), _sort_key):
             out.append((*row, at))
             at += 1
             if len(out) == 4096:
@@ -222,7 +251,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, MERGED)
 
-    dealt = runs.select(*CAPTURE.names).repartitionByRange("url_key", "time", "page_id")
+    key = ["url_key", "time", "page_id"]
+    ranges = max(1, -(-runs.count() // captures))
+    dealt = runs.select(*CAPTURE.names).repartitionByRange(ranges, *key, "archive", "offset").sortWithinPartitions("archive", *key)
     return dealt.mapInArrow(run, MERGED).withColumn("part", F.spark_partition_id())
 
 
