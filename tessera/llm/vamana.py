@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by cosine: robust-pruned directed graphs, one per shard, searched by beam.
 
-Equal vectors are one node that carries its smallest ids, so large groups of copies neither fill a graph's
-edges nor a task. Nodes are hashed into shards of about ``shard_rows``. A task holds one shard: it builds the
+Vectors of one direction are one node that carries its smallest ids, so large groups of copies neither fill a graph's
+edges nor a task. Nodes are numbered by their smallest id. Nodes are hashed into shards of about ``shard_rows``. A task holds one shard: it builds the
 graph in batches (greedy searches on the graph so far propose neighbours; pruning keeps a candidate only if no
 kept neighbour is ``alpha`` times nearer to it; edges are added back and pruned again) and then streams every
 query through a beam search. The best of all shards are ranked by the cosine in double precision on the
 original vectors.
 
+Every query visits every shard, so the search part costs queries times shards; with a fixed set of queries it grows with
+the rows, with a fixed share of them as queries with their square.
+
 Defined results: null, zero, empty and non-finite vectors take no part, nor do rows without an id; vectors
 are compared with those of their own dimension only; a row repeated with the same id and vector counts once;
-ties go to the smaller id; queries get fewer rows when there are fewer candidates; empty tables give empty
+ties among the nodes found go to the smaller id (a beam holds ``search_beam`` nodes, so of more directions than that at
+one distance, in one shard, some are not seen); queries get fewer rows when there are fewer candidates; empty tables give empty
 results; other columns are ignored.
 """
 
@@ -140,7 +144,7 @@ class Graph:
             dist[rows] = np.take_along_axis(all_d, best, 1)
             ids[rows] = np.take_along_axis(all_i, best, 1)
             done[rows] = np.take_along_axis(all_done, best, 1)
-        order = np.argsort(dist, 1, kind="stable")
+        order = np.lexsort((ids, dist), 1)
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1), np.concatenate(visited, 1) if visited else np.zeros((size, 0), np.int32)
 
 
@@ -164,16 +168,19 @@ def neighbours(
     """query_id, rank, vec_id, score: each query row's ``k`` nearest other ids among ``vectors``."""
     spark = vectors.sparkSession
     shaped = lambda df: df.where(F.col(vec_id).isNotNull() & valid(F.col(vec))).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).withColumn("dim", F.size("vec"))
-    first = Window.partitionBy("dim", "vec").orderBy("id")
-    data = shaped(vectors).distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    nodes = materialize(data.groupBy("dim", "vec").agg(F.sort_array(F.collect_list("id")).alias("members")), "ann-nodes")
+    # a node is a direction: the vector over its largest component
+    data = shaped(vectors).withColumn("key", F.transform(F.array(F.array_max(F.transform("vec", F.abs))), lambda most: F.transform("vec", lambda v: v / most))[0]).dropDuplicates(["dim", "key", "id"])
+    first = Window.partitionBy("dim", "key").orderBy("id")
+    data = data.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    nodes = data.groupBy("dim", "key").agg(F.min(F.struct("id", "vec"))["vec"].alias("vec"), F.sort_array(F.collect_list("id")).alias("members"))
+    nodes = materialize(nodes.drop("key"), "ann-nodes")
     shards = max(1, -(-nodes.count() // shard_rows))
     where = F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")
     nodes = nodes.select("dim", where.alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "vec", "members")
     asked = shaped(queries).distinct().select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("array<long>").alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, members, graph, original, unit = None, [], [], None, None, None
+        at, parts, members, graph, unit, least = None, [], [], None, None, None
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "kind")], 1) if batch.num_rows else np.zeros((0, 3), int)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
@@ -192,15 +199,16 @@ def neighbours(
                 if not parts:
                     continue
                 if graph is None:
-                    original = np.concatenate(parts)
-                    unit = _unit(original)
+                    unit = _unit(np.concatenate(parts))
                     graph = Graph(unit, degree, beam, alpha)
+                    least = np.array([m[0] for m in members], np.int64)
                 ids = piece.column("id").to_numpy(zero_copy_only=False)
                 for c in range(0, len(x), BLOCK):
                     q = _unit(x[c : c + BLOCK])
                     found = graph.search(q, search_beam)[0]
                     score = np.where(found >= 0, np.einsum("qd,qkd->qk", q, unit[found]), -np.inf)
-                    best = np.argsort(-score, 1, kind="stable")[:, : k + 1]
+                    # a row among the k nearest is in one of the first k nodes by score and smallest id, the query's own aside
+                    best = np.lexsort((np.where(found >= 0, least[found], np.iinfo(np.int64).max), -score), 1)[:, : k + 1]
                     row, column = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
                     hit = best[row, column]
                     node = found[row, hit]
@@ -208,7 +216,7 @@ def neighbours(
                         [pa.array(ids[c : c + BLOCK][row]), pa.array([members[i] for i in node], pa.list_(pa.int64())), pa.array(score[row, hit])], names=_FOUND.names
                     )
 
-    both = nodes.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("dim", "shard", "kind")
+    both = nodes.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("dim", "shard", "kind", F.col("members")[0])
     found = both.mapInArrow(run, _FOUND)
     each = found.select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
