@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -34,7 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _fingerprint(now)
     while seen[0]:
-        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
+        large = materialize(_large_star(now), "edges")
+        before, now = now, materialize(_small_star(large), "edges")
+        discard(before, large)
         new = _fingerprint(now)
         if new == seen:
             break
