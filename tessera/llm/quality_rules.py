@@ -1,19 +1,25 @@
 """Quality rules: fixed base rules, then robust outliers of each language and source.
 
-Every document that passes the base rules has a vector of transformed statistics. For each (language, source)
-the minimum-covariance-determinant estimate of centre and scatter is found by concentration steps over all its
-rows: distances to the present estimate, then mean and covariance of the ``share`` of rows with the smallest.
-A step is one aggregation: rows are summed by group and by bin of their log distance, and the bins up to
-the wanted share are added up, so the largest group costs no more than any other rows and nothing is sampled. The
-start is each coordinate's median and median deviation, read from counts on a fine grid. Documents whose
-squared Mahalanobis distance is above ``cutoff`` are rejected.
+Every document that passes the base rules has a vector of transformed statistics. For each (language, source) the
+regularised minimum-covariance-determinant estimate of centre and scatter is sought over all its rows: of the subsets of
+``share`` of the rows, the one whose covariance, with a floor added, has the smallest determinant. The search starts from
+four robust estimates (medians and deviations; all rows; correlations of squashed values; correlations of directions) and
+concentrates: distances to the present estimate, then mean and covariance of exactly the nearest share of rows. Each step
+lowers the determinant. After ``first_steps`` the best two starts of each group go on until no determinant falls, and the
+smallest wins. Documents whose squared Mahalanobis distance is above ``cutoff`` are rejected.
+
+Equal vectors are one row with a weight. A step is a few aggregations over all rows: counts by fine bins of log distance
+give the bin in which the share ends, and only that bin's rows (about a ten-thousandth of a group) are ordered, by
+distance, then vector. So the largest group costs no more than any other rows, nothing is sampled, and ties are cut alike
+in each run.
 
 A floor added to the variances, the resolution of the statistics in the shortest text that passes the base rules,
-keeps statistics that are the same in most of a group (no symbols at all) from rejecting deviations of one count. Groups of fewer than ``min_rows`` rows are estimated together by language, and
-languages of fewer than that together.
+keeps statistics that are the same in most of a group (no symbols at all) from rejecting deviations of one count. Groups
+of fewer than ``min_rows`` rows are estimated together by language, and languages of fewer than that together.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are
-groups of their own; repeated rows count each; empty tables give empty results; a group of one is kept.
+groups of their own; repeated rows count each; empty tables give empty results; a group of one is kept; other columns
+are ignored, and one to be kept that has the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 from .textstats import RULE_STATS, add_stats, rule_stats
 
 VECTOR = ["v_length", "v_symbols", "v_upper", "v_stops", "v_lines", "v_repeats"]
@@ -40,8 +46,10 @@ FLOOR = [log1p(1 + 1 / MIN_WORDS) - log1p(1), *[log1p(1 / MIN_WORDS)] * 3, *[1 /
 CUTOFF = 38.26
 #: Grid of the medians: cells per unit; the transformed statistics lie in 0 to a few units.
 GRID = 256
-#: Bins of log distance: per doubling, and the range of doublings.
-PER_DOUBLING, LOW, HIGH = 8, -20, 40
+#: Bins of distance for each doubling, and what is added to distances before logarithms.
+PER_DOUBLING, LEAST = 4096, 1e-9
+#: Steps of all starts, starts that go on, and the fall of a log determinant that counts.
+FIRST_STEPS, GO_ON, SETTLED = 2, 2, 1e-7
 
 
 def vector(stats: DataFrame) -> DataFrame:
@@ -86,74 +94,168 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_ESTIMATE = T.StructType([T.StructField("gid", T.LongType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+_ESTIMATE = T.StructType(
+    [T.StructField("gid", T.LongType()), T.StructField("start", T.IntegerType())]
+    + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("centre", "inverse")] + [T.StructField("logdet", T.DoubleType())]
+)
+
+
+def _regularised(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inverse, log determinant) of covariances with the floor added."""
+    full = cov + np.diag(np.square(FLOOR))
+    return np.linalg.inv(full), np.linalg.slogdet(full)[1]
+
+
+def _moments(u: list[Column], weight: Column, tag: str = "") -> list[Column]:
+    d = len(u)
+    return [F.sum(weight * u[i]).alias(f"s{tag}_{i}") for i in range(d)] + [F.sum(weight * u[i] * u[j]).alias(f"s{tag}_{i}_{j}") for i in range(d) for j in range(i, d)]
+
+
+def _mean_cov(batch: pa.RecordBatch, n: np.ndarray, tag: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Means, and covariances, of the sums of a batch's rows."""
+    d = len(VECTOR)
+    get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    mean = np.stack([get(f"s{tag}_{i}") for i in range(d)], 1) / n[:, None]
+    cov = np.zeros((len(n), d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[:, i, j] = cov[:, j, i] = get(f"s{tag}_{i}_{j}") / n - mean[:, i] * mean[:, j]
+    return mean, cov
+
+
+def _rows_of(gid: pa.Array, start: pa.Array | int, centre: np.ndarray, cov: np.ndarray) -> pa.RecordBatch:
+    inverse, logdet = _regularised(cov)
+    start = pa.array(np.full(len(gid), start, np.int32)) if isinstance(start, int) else start
+    return pa.RecordBatch.from_arrays([gid, start, pa.array(centre.tolist()), pa.array(inverse.reshape(len(gid), -1).tolist()), pa.array(logdet)], names=_ESTIMATE.names)
 
 
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
-    """From (gid, n, s_i, s_i_j) with sums about the old ``centre`` to new centre and inverse covariance."""
-    d, floor = len(VECTOR), np.square(FLOOR)
+    """From (gid, start, n, s_i, s_i_j) with sums about the old ``centre`` to new centre and inverse covariance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            n = get("n").astype(float)
-            old = np.array(batch.column("centre").to_pylist())
-            mean = np.stack([get(f"s_{i}") for i in range(d)], 1) / n[:, None]
-            cov = np.zeros((len(n), d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    cov[:, i, j] = cov[:, j, i] = get(f"s_{i}_{j}") / n - mean[:, i] * mean[:, j]
-            inverse = np.linalg.inv(cov * factor + np.diag(floor))
-            yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array((old + mean).tolist()), pa.array(inverse.reshape(len(n), -1).tolist())], names=_ESTIMATE.names)
+            if batch.num_rows:
+                mean, cov = _mean_cov(batch, batch.column("n").to_numpy(zero_copy_only=False).astype(float))
+                yield _rows_of(batch.column("gid"), batch.column("start"), np.array(batch.column("centre").to_pylist()) + mean, cov * factor)
 
     return sums.mapInArrow(run, _ESTIMATE)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and median deviation of each coordinate, from counts on a grid."""
-    d = len(VECTOR)
+def _medians(rows: DataFrame) -> DataFrame:
+    """(gid, median, deviation): arrays of each coordinate's median and median deviation, from counts on a grid."""
 
     def medians(values: DataFrame) -> DataFrame:
-        counts = values.groupBy("gid", "i", "cell").agg(F.count(F.lit(1)).alias("n"))
+        counts = values.groupBy("gid", "i", "cell").agg(F.sum("w").alias("n"))
         w = Window.partitionBy("gid", "i")
         counts = counts.withColumn("below", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
         return counts.where("2 * below >= all").groupBy("gid", "i").agg((F.min("cell") / GRID).alias("median"))
 
-    cells = rows.select("gid", F.posexplode(F.array(*[F.round(F.col(v) * GRID) for v in VECTOR])).alias("i", "cell"))
+    cells = rows.select("gid", "w", F.posexplode(F.array(*[F.round(F.col(v) * GRID) for v in VECTOR])).alias("i", "cell"))
     centre = medians(cells)
-    away = cells.join(centre, ["gid", "i"]).select("gid", "i", F.abs(F.col("cell") - F.round(F.col("median") * GRID)).alias("cell"))
-    spread = medians(away).withColumnRenamed("median", "mad")
-    both = centre.join(spread, ["gid", "i"]).groupBy("gid").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "median", "mad"))), lambda x: F.struct(x["median"].alias("m"), x["mad"].alias("s"))).alias("x")
-    )
-    variance = lambda i: F.pow(F.col("x")[i]["s"] * 1.4826, 2) + F.lit(FLOOR[i] ** 2)
-    inverse = F.array(*[1 / variance(i) if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    return both.select("gid", F.transform("x", lambda x: x["m"]).alias("centre"), inverse.alias("inverse"))
+    away = cells.join(centre, ["gid", "i"]).select("gid", "w", "i", F.abs(F.col("cell") - F.round(F.col("median") * GRID)).alias("cell"))
+    both = centre.join(medians(away).withColumnRenamed("median", "mad"), ["gid", "i"])
+    x = F.sort_array(F.collect_list(F.struct("i", "median", "mad")))
+    return both.groupBy("gid").agg(F.transform(x, lambda y: y["median"]).alias("median"), F.transform(x, lambda y: y["mad"]).alias("mad"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The four estimates the search starts from."""
+    d, floor = len(VECTOR), np.array(FLOOR)
+    known = rows.join(materialize(_medians(rows), "rule-medians"), "gid")
+    z = [(F.col(v) - F.col("median")[i]) / F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i, v in enumerate(VECTOR)]
+    known = known.select("gid", "w", "median", "mad", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    z = [F.col(f"z{i}") for i in range(d)]
+    squares = z[0] * z[0]
+    for c in z[1:]:
+        squares = squares + c * c
+    known = known.withColumn("length", F.sqrt(squares) + 1e-12)
+    kinds = {"a": z, "b": [F.tanh(c) for c in z], "c": [c / F.col("length") for c in z]}
+    sums = known.groupBy("gid").agg(F.sum("w").alias("n"), F.first("median").alias("median"), F.first("mad").alias("mad"), *[m for tag, u in kinds.items() for m in _moments(u, F.col("w"), tag)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid, n = batch.column("gid"), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            median, mad = (np.array(batch.column(c).to_pylist()) for c in ("median", "mad"))
+            unit = np.sqrt(np.square(mad * 1.4826) + np.square(floor))
+            outer = unit[:, :, None] * unit[:, None, :]
+            yield _rows_of(gid, 0, median, outer * np.eye(d))
+            mean, cov = _mean_cov(batch, n, "a")
+            yield _rows_of(gid, 1, median + unit * mean, outer * cov)
+            for start, tag in ((2, "b"), (3, "c")):
+                mean, cov = _mean_cov(batch, n, tag)
+                yield _rows_of(gid, start, median, outer * _correlation(cov if tag == "b" else cov + mean[:, :, None] * mean[:, None, :]))
+
+    return sums.mapInArrow(run, _ESTIMATE)
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
+    """Covariances scaled to ones on the diagonal; a coordinate without variance is uncorrelated."""
+    d = cov.shape[-1]
+    spread = np.sqrt(np.maximum(np.einsum("nii->ni", cov), 0))
+    flat = spread < 1e-9
+    spread[flat] = 1
+    out = cov / (spread[:, :, None] * spread[:, None, :])
+    out[flat[:, :, None] | flat[:, None, :]] = 0
+    out[:, range(d), range(d)] = 1
+    return out
 
 
 def _step(rows: DataFrame, now: DataFrame, share: float, factor: float) -> DataFrame:
-    d = len(VECTOR)
-    known = rows.join(now, "gid").withColumn("d2", _distance())
-    known = known.withColumn("bin", F.floor(F.least(F.greatest(F.log2(F.col("d2") + 1e-9), F.lit(LOW)), F.lit(HIGH)) * PER_DOUBLING))
+    """Estimates from exactly the nearest share of each group's rows, ties by vector."""
+    key = ["gid", "start"]
+    d2 = _distance()
+    known = rows.join(now.select(*key, "centre", "inverse"), "gid").withColumn("d2", d2)
+    known = known.withColumn("bin", F.floor(F.log2(F.col("d2") + LEAST) * PER_DOUBLING))
+    counts = known.groupBy(*key, "bin").agg(F.sum("w").alias("n"))
+    w = Window.partitionBy(*key)
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("wanted", F.ceil(F.sum("n").over(w) * F.lit(share)))
+    cut = counts.where("upto >= wanted").groupBy(*key).agg(F.min(F.struct("bin", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))).alias("cut"))
+    known = known.join(cut.select(*key, F.col("cut")["bin"].alias("last"), F.col("cut")["need"].alias("need")), key)
+    columns = [*key, "centre", *VECTOR]
+    inside = known.where("bin < last").select(*columns, "w")
+    before = F.coalesce(F.sum("w").over(w.orderBy("d2", *VECTOR).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = known.where("bin = last").withColumn("left", F.col("need") - before).where("left > 0").select(*columns, F.least("w", "left").alias("w"))
     u = [F.col(v) - F.col("centre")[i] for i, v in enumerate(VECTOR)]
-    sums = {f"s_{i}": F.sum(u[i]) for i in range(d)} | {f"s_{i}_{j}": F.sum(u[i] * u[j]) for i in range(d) for j in range(i, d)}
-    binned = known.groupBy("gid", "bin").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()])
-    w = Window.partitionBy("gid")
-    binned = binned.withColumn("below", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    binned = binned.withColumn("all", F.sum("n").over(w)).where(F.col("below") < F.col("all") * share)
-    chosen = binned.groupBy("gid").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums]).join(now.select("gid", "centre"), "gid")
-    return _estimates(chosen, factor)
+    sums = inside.union(edge).groupBy(*key).agg(F.sum("w").alias("n"), F.first("centre").alias("centre"), *_moments(u, F.col("w")))
+    return _estimates(sums, factor)
+
+
+def _fall(old: DataFrame, new: DataFrame) -> float:
+    """By how much the log determinants fell, at most."""
+    both = new.select("gid", "start", "logdet").join(old.select("gid", "start", F.col("logdet").alias("was")), ["gid", "start"])
+    return both.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0
+
+
+def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_STEPS) -> DataFrame:
+    """(gid, start, centre, inverse, logdet): the estimate of each group of ``rows`` (gid, the vector, w: how often)."""
+    factor = _consistency(share, len(VECTOR))
+    now = materialize(_starts(rows), "rule-estimate")
+    for _ in range(first_steps):
+        now = materialize(_step(rows, now, share, factor), "rule-estimate")
+    rank = Window.partitionBy("gid").orderBy("logdet", "start")
+    best = lambda few: now.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).drop("r")
+    now = materialize(best(GO_ON), "rule-estimate")
+    while True:  # ends: determinants of finitely many subsets fall
+        before, now = now, materialize(_step(rows, now, share, factor), "rule-estimate")
+        fall = _fall(before, now)
+        discard(before)
+        if fall <= SETTLED:
+            return materialize(best(1), "rule-estimate")
 
 
 def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def estimate(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statistics of every document, group of each language and source, estimate of each group)."""
-    stats = materialize(vector(add_stats(docs, rule_stats, RULE_STATS, T.LongType()).withColumn("base_failed", _failed())), "rule-stats")
+def with_statistics(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """A written table of the documents' statistics, with or without their texts."""
+    return materialize(vector(add_stats(docs, rule_stats, RULE_STATS, T.LongType(), keep_text=keep_text).withColumn("base_failed", _failed())), "rule-stats")
+
+
+def estimate(stats: DataFrame, share: float = 0.75, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(group of each language and source, estimate of each group)."""
     sizes = stats.where("not base_failed").groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
     alone = F.col("n") >= min_rows
     by_lang = F.sum(F.when(~alone, F.col("n"))).over(Window.partitionBy("g_lang")) >= min_rows
@@ -161,12 +263,11 @@ def estimate(docs: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int
     groups = sizes.select("g_lang", "g_source", level.alias("level"))
     gid = F.when(F.col("level") == 0, F.xxhash64(F.lit(0), F.to_json(F.struct("g_lang", "g_source")))).when(F.col("level") == 1, F.xxhash64(F.lit(1), F.to_json(F.struct("g_lang")))).otherwise(0)
     groups = materialize(groups.withColumn("gid", gid.cast("long")).drop("level"), "rule-groups")
-    rows = materialize(stats.where("not base_failed").join(groups, _same(stats, groups)).select("gid", *VECTOR), "rule-vectors")
-    now = materialize(_start(rows), "rule-estimate")
-    factor = _consistency(share, len(VECTOR))
-    for _ in range(steps):
-        now = materialize(_step(rows, now, share, factor), "rule-estimate")
-    return stats, groups, now
+    rows = stats.where("not base_failed").join(groups, _same(stats, groups)).groupBy("gid", *VECTOR).agg(F.count(F.lit(1)).alias("w"))
+    rows = materialize(rows, "rule-vectors")
+    now = concentrated(rows, share)
+    discard(rows)
+    return groups, now
 
 
 def _same(stats: DataFrame, groups: DataFrame) -> Column:
@@ -181,19 +282,20 @@ def _judged(stats: DataFrame, groups: DataFrame, now: DataFrame, cutoff: float)
 
 def _grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns under a prefix, so that no name of theirs clashes, beside text, language and source."""
-    return docs.select(*[F.col(c).alias(f"k_{c}") for c in columns], F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "text")
+    return docs.select(*[F.col(c).alias(f"k_{c}") for c in columns if c != "text"], F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "text")
 
 
 def assess(docs: DataFrame, cutoff: float = CUTOFF, keep: list[str] | None = None, **options) -> DataFrame:
-    """The columns of ``keep``, RULE_STATS, base_failed, distance (squared, null if base_failed) and kept."""
-    keep = keep or ["doc_id"]
-    judged = _judged(*estimate(_grouped(docs, keep), **options), cutoff)
-    return judged.select(*[F.col(f"k_{c}").alias(c) for c in keep], *RULE_STATS, *VECTOR, "base_failed", "distance", "kept")
+    """The columns of ``keep`` (not the text), RULE_STATS, base_failed, distance (squared, null if base_failed) and kept."""
+    made = [*RULE_STATS, *VECTOR, "base_failed", "distance", "kept"]
+    keep = [c for c in keep or ["doc_id"] if c not in made and c != "text"]
+    stats = with_statistics(_grouped(docs, keep), keep_text=False)
+    judged = _judged(stats, *estimate(stats, **options), cutoff)
+    return judged.select(*[F.col(f"k_{c}").alias(c) for c in keep], *made)
 
 
 def accepted(docs: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
-    """The documents that pass, as they are: estimates first, then a second look at each text where it is read."""
-    _, groups, now = estimate(_grouped(docs, []), **options)
-    stats = add_stats(_grouped(docs, docs.columns), rule_stats, RULE_STATS, T.LongType(), keep_text=True)
-    judged = _judged(vector(stats.withColumn("base_failed", _failed())), groups, now, cutoff)
-    return judged.where("kept").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    """The documents that pass, as they are. They are written once with their statistics, which estimates read alone."""
+    stats = with_statistics(_grouped(docs, docs.columns), keep_text=True)
+    judged = _judged(stats, *estimate(stats, **options), cutoff)
+    return judged.where("kept").select(*[F.col(c if c == "text" else f"k_{c}").alias(c) for c in docs.columns])
