@@ -4,11 +4,12 @@ Statistics of every whole text are computed where the text is read and written a
 rows of that table train the trees on the driver, and all rows are scored with the trees laid out in flat
 arrays, so that a batch walks one level of all trees with a few numpy gathers.
 
-Training uses at most ``max_rows`` labelled rows, those with the lowest hash of their id; statistics, scores
-and labels joins cover all rows. Everything is deterministic.
+Training uses about ``max_rows`` labelled ids at most, those whose hash is below a threshold that follows from their
+number, so no more than that ever leaves the executors; scores cover all rows. Everything is deterministic.
 
 Defined results: a null or empty text has all statistics 0 and gets a score; labels that are null, or differ
-for one id, are not learnt from; repeated documents are scored each; ids without a document are ignored; if no
+for one id, are not learnt from; repeated documents are scored each, and of several rows of one id the one with the
+smallest statistics is learnt from; ids without a document are ignored; other columns are ignored; if no
 label can be learnt from, every score is 0.5, and if all agree it is near that label. An empty table gives an
 empty result.
 """
@@ -28,6 +29,10 @@ from .common import materialize, slices, trim
 from .textstats import FEATURES, add_stats, features
 
 
+#: Labelled ids to learn from, about, at most.
+MAX_ROWS = 40_000
+
+
 @dataclass
 class Trees:
     """All trees in flat arrays; ``left`` of a leaf is the leaf itself. ``roots`` has each tree's first node."""
@@ -121,12 +126,31 @@ def document_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return materialize(add_stats(docs.select(*keep, "text"), features, FEATURES, T.DoubleType()), "quality-features")
 
 
-def train(stats: DataFrame, labels: DataFrame, usable, max_rows: int = 40_000) -> Trees:
+def sampled_labels(labels: DataFrame, usable, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, y) of about ``max_rows`` ids at most whose label can be learnt from, by their hash."""
+    known = labels.where(F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("doc_id", "y")
+    share = max_rows / max(1, known.count())
+    return known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
+
+
+def fit_rows(stats: DataFrame, sample: DataFrame) -> Trees:
+    """Trees from the statistics (doc_id, FEATURES) of the sample's ids, one row for each id."""
+    rows = stats.join(F.broadcast(sample), "doc_id")  # sampled_labels bounds its size
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"), F.first("y").alias("y"))
+    found = rows.select("doc_id", "x.*", "y").toPandas().sort_values("doc_id")
+    return fit(found[FEATURES].to_numpy(float), found["y"].to_numpy(float))
+
+
+def train(stats: DataFrame, labels: DataFrame, usable, max_rows: int = MAX_ROWS) -> Trees:
     """Trees for ``labels`` (doc_id, quality); only rows where ``usable`` (a column of doc_id) holds are learnt."""
-    known = labels.where(F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2")
-    sample = stats.join(known.select("doc_id", "y"), "doc_id").select(*FEATURES, "y", F.xxhash64("doc_id").alias("_h"))
-    sample = sample.orderBy("_h", *FEATURES).limit(max_rows).toPandas()
-    return fit(sample[FEATURES].to_numpy(float), sample["y"].to_numpy(float))
+    return fit_rows(stats, sampled_labels(labels, usable, max_rows))
+
+
+def train_on_documents(docs: DataFrame, labels: DataFrame, usable, max_rows: int = MAX_ROWS) -> Trees:
+    """As ``train``, from documents: statistics are computed of the sample's documents alone."""
+    sample = materialize(sampled_labels(labels, usable, max_rows), "quality-sample")
+    some = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    return fit_rows(add_stats(some, features, FEATURES, T.DoubleType()), sample)
 
 
 def score(stats: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
