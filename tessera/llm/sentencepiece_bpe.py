@@ -11,7 +11,9 @@ Pieces join only at most a run of white space with the word behind it, and many
 piece; the text is cut at such places first and the encodings of short segments are kept in a bounded cache.
 
 Defined results: a null text counts as empty; empty text has no ids and decodes to empty; repeated rows are
-encoded each by itself; output columns replace input columns of the same name; other columns pass through.
+encoded each by itself; output columns replace input columns of the same name; other columns pass through. Models that
+are not of the merge type, that normalise or do not put a space before the text, or that have user-defined or unused
+pieces are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import id_lists, slices, trim, with_columns
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNK_SURFACE = " ⁇ "
-#: Segments kept during a task: half of them new, half those that were in use before.
-CACHE_SEGMENTS = 600_000
+#: Segments kept during a task: half of them new, half those that were in use before; longer ones are not kept.
+CACHE_SEGMENTS, CACHED_LENGTH = 600_000, 64
 #: Neighbour checks kept during a task.
 CACHE_PAIRS = 400_000
 #: Characters of a text encoded at once; the cut moves on to the next segment boundary.
@@ -253,9 +255,13 @@ class Codec:
             for chunk in self._chunks(SPACE + text.replace(" ", SPACE)) if text else ():
                 found = self.segments(chunk)
                 young, old = self.cache, self.older
+                long = {}
                 for s in set(found).difference(young):
-                    young[s] = old.get(s) or self.encode_segment(s)
-                parts.append(b"".join(map(young.__getitem__, found)))
+                    if len(s) <= CACHED_LENGTH:
+                        young[s] = old.get(s) or self.encode_segment(s)
+                    else:
+                        long[s] = self.encode_segment(s)
+                parts.append(b"".join(map(young.__getitem__, found) if not long else (long.get(s) or young[s] for s in found)))
                 if len(young) > CACHE_SEGMENTS // 2:
                     self.cache, self.older = {}, {s: ids for s, ids in young.items() if len(s) <= 24}
             ids = b"".join(parts)
