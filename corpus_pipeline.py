@@ -23,8 +23,7 @@ def _bounded(stage):
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of these documents and drops those it rates low."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = quality_gbt.document_features(docs, ["doc_id"])
-    return quality_gbt.accepted(docs, quality_gbt.train(stats, labels, quality_gbt.learnable()))
+    return quality_gbt.accepted(docs, quality_gbt.train_on_documents(docs, labels, quality_gbt.learnable()))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
