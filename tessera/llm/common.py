@@ -21,6 +21,8 @@ SLICE_BYTES = 2 << 20
 
 
 _LEFT: set[str] = set()
+#: Scratch tables that were not removed yet.
+_MADE: dict[str, None] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -71,9 +73,23 @@ def bucketed(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
 
 def _placed(df: DataFrame, path: str) -> DataFrame:
     df._scratch = path
+    _MADE[path] = None
     return df
 
 
+def scratch_made() -> list[str]:
+    """The scratch tables there are, oldest first."""
+    return list(_MADE)
+
+
+def release(paths: list[str], docs: DataFrame) -> None:
+    """Remove scratch tables but those that ``docs`` still reads."""
+    read = {part for f in docs.inputFiles() for part in f.split("/")[-3:-1]} if paths else set()
+    for path in paths:
+        if path in _MADE and path.rpartition("/")[2] not in read:
+            _delete(docs.sparkSession, path)
+
+
 @contextmanager
 def _released_shuffles(spark: SparkSession):
     """Within, the engine drops a query's shuffle files when it ends: what it wrote is all that is needed."""
@@ -89,6 +105,7 @@ def _released_shuffles(spark: SparkSession):
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _MADE.pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
