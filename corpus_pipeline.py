@@ -11,13 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, quality_gbt, quality_rules, sentencepiece_bpe
-from tessera.llm.common import bounded, materialize
+from tessera.llm.common import bounded, materialize, release, scratch_made
 from tessera.llm.queries import tokenizer_path
 
 
-def _bounded(stage):
-    """The stage with small Arrow batches."""
-    return lambda spark, docs, sf_dir: stage(bounded(spark), docs, sf_dir)
+_EARLIER: list[str] = []
+
+
+def _stage(f):
+    """The stage with small Arrow batches. Scratch tables of the stage before go first: its result is written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_EARLIER, docs)
+        before = set(scratch_made())
+        out = f(bounded(spark), docs, sf_dir)
+        _EARLIER[:] = [path for path in scratch_made() if path not in before]
+        return out
+
+    return run
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +59,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", _bounded(quality_classifier)),
-    ("quality rules", _bounded(quality_rules_stage)),
-    ("n-gram Jaccard join", _bounded(near_duplicates)),
-    ("mixing sources to target weights", _bounded(source_mix)),
-    ("SentencePiece encoding", _bounded(tokens)),
+    ("quality classifier", _stage(quality_classifier)),
+    ("quality rules", _stage(quality_rules_stage)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("mixing sources to target weights", _stage(source_mix)),
+    ("SentencePiece encoding", _stage(tokens)),
 ]
 
 #: Trained trees, iterated estimates and classes of linked documents are beyond SQL; tests compare with brute force.
