@@ -5,8 +5,8 @@ regularised minimum-covariance-determinant estimate of centre and scatter is sou
 ``share`` of the rows, the one whose covariance, with a floor added, has the smallest determinant. The search starts from
 four robust estimates (medians and deviations; all rows; correlations of squashed values; correlations of directions) and
 concentrates: distances to the present estimate, then mean and covariance of exactly the nearest share of rows. Each step
-lowers the determinant. After ``first_steps`` the best two starts of each group go on until no determinant falls, and the
-smallest wins. Documents whose squared Mahalanobis distance is above ``cutoff`` are rejected.
+lowers the determinant. After ``first_steps`` the best ``go_on`` starts of each group go on until no determinant falls, and
+the smallest wins: a local minimum, which following all four to their ends may lower a little. Documents whose squared Mahalanobis distance is above ``cutoff`` are rejected.
 
 Equal vectors are one row with a weight. A step is a few aggregations over all rows: counts by fine bins of log distance
 give the bin in which the share ends, and only that bin's rows (about a ten-thousandth of a group) are ordered, by
@@ -228,7 +228,7 @@ def _fall(old: DataFrame, new: DataFrame) -> float:
     return both.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0
 
 
-def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_STEPS) -> DataFrame:
+def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_STEPS, go_on: int = GO_ON) -> DataFrame:
     """(gid, start, centre, inverse, logdet): the estimate of each group of ``rows`` (gid, the vector, w: how often)."""
     factor = _consistency(share, len(VECTOR))
     now = materialize(_starts(rows), "rule-estimate")
@@ -236,7 +236,7 @@ def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_
         now = materialize(_step(rows, now, share, factor), "rule-estimate")
     rank = Window.partitionBy("gid").orderBy("logdet", "start")
     best = lambda few: now.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).drop("r")
-    now = materialize(best(GO_ON), "rule-estimate")
+    now = materialize(best(go_on), "rule-estimate")
     while True:  # ends: determinants of finitely many subsets fall
         before, now = now, materialize(_step(rows, now, share, factor), "rule-estimate")
         fall = _fall(before, now)

@@ -79,13 +79,16 @@ def groups():
 def test_determinant_is_the_smallest(spark, groups):
     data = [(g, *map(float, v)) for g, x in groups.items() for v in x]
     rows = spark.createDataFrame(data, ["gid", *quality_rules.VECTOR]).groupBy("gid", *quality_rules.VECTOR).agg(F.count(F.lit(1)).alias("w"))
-    found = {r.gid: r for r in quality_rules.concentrated(materialize(rows, "t"), 0.75, first_steps=2).collect()}
+    rows = materialize(rows, "t")
+    found = {r.gid: r for r in quality_rules.concentrated(rows, 0.75, go_on=4).collect()}
+    usual = {r.gid: r for r in quality_rules.concentrated(rows, 0.75).collect()}
     rng = np.random.default_rng(5)
     for g, x in groups.items():
         if len(x) == 1:
             assert np.allclose(found[g].centre, x[0])
             continue
         wanted = plain(x)
+        assert wanted[0] - 1e-5 <= usual[g].logdet <= wanted[0] + 0.2
         assert found[g].logdet == pytest.approx(wanted[0], abs=1e-5)
         assert np.allclose(found[g].centre, wanted[1], atol=1e-5)
         assert np.allclose(np.array(found[g].inverse).reshape(D, D), np.linalg.inv(wanted[2] + FLOOR2), rtol=1e-3, atol=1e-3)
