@@ -5,13 +5,13 @@ regularised minimum-covariance-determinant estimate of centre and scatter is sou
 ``share`` of the rows, the one whose covariance, with a floor added, has the smallest determinant. The search starts from
 four robust estimates (medians and deviations; all rows; correlations of squashed values; correlations of directions) and
 concentrates: distances to the present estimate, then mean and covariance of exactly the nearest share of rows. Each step
-lowers the determinant. After ``first_steps`` the best ``go_on`` starts of each group go on until no determinant falls, and
+lowers the determinant. After ``first_steps`` the best ``go_on`` starts of each group go on until theirs falls no more, and
 the smallest wins: a local minimum, which following all four to their ends may lower a little. Documents whose squared Mahalanobis distance is above ``cutoff`` are rejected.
 
 Equal vectors are one row with a weight. A step is a few aggregations over all rows: counts by fine bins of log distance
-give the bin in which the share ends, and only that bin's rows (about a ten-thousandth of a group) are ordered, by
-distance, then vector. So the largest group costs no more than any other rows, nothing is sampled, and ties are cut alike
-in each run.
+give the bin in which the share ends, and only that bin's rows (about a six-hundredth of a group) are ordered, by
+distance, then vector. All others meet the small table of estimates where they are read, and leave as partial sums. So the
+largest group costs no more than any other rows, nothing is sampled, and ties are cut alike in each run.
 
 A floor added to the variances, the resolution of the statistics in the shortest text that passes the base rules,
 keeps statistics that are the same in most of a group (no symbols at all) from rejecting deviations of one count. Groups
@@ -47,7 +47,7 @@ CUTOFF = 38.26
 #: Grid of the medians: cells per unit; the transformed statistics lie in 0 to a few units.
 GRID = 256
 #: Bins of distance for each doubling, and what is added to distances before logarithms.
-PER_DOUBLING, LEAST = 4096, 1e-9
+PER_DOUBLING, LEAST = 256, 1e-9
 #: Steps of all starts, starts that go on, and the fall of a log determinant that counts.
 FIRST_STEPS, GO_ON, SETTLED = 2, 2, 1e-7
 
@@ -84,14 +84,22 @@ def _consistency(share: float, d: int) -> float:
     return share / _chi2(low, d + 2)
 
 
-def _distance() -> Column:
+def _placed(rows: DataFrame, now: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """The rows beside their group's estimates: other columns of both, offsets u_i from the centre, and d2, the squared distance."""
     d = len(VECTOR)
-    u = [F.col(v) - F.col("centre")[i] for i, v in enumerate(VECTOR)]
-    terms = [u[i] * u[j] * F.col("inverse")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.greatest(total, F.lit(0.0))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    centre = {f"e_{i}": F.col("centre")[i] for i in range(d)}
+    # plain columns, taken from the arrays in the small table: the code for a row stays small enough to be compiled
+    inverse = {f"e_{i}_{j}": F.col("inverse")[i * d + j] * (1 if i == j else 2) for i, j in pairs}
+    known = rows.join(now.withColumns(centre | inverse).drop("centre", "inverse", "logdet"), key, how)
+    known = known.withColumns({f"u_{i}": F.col(v) - F.col(f"e_{i}") for i, v in enumerate(VECTOR)})
+    total = F.lit(0.0)
+    for i in range(d):
+        line = F.col(f"e_{i}_{i}") * F.col(f"u_{i}")
+        for j in range(i + 1, d):
+            line = line + F.col(f"e_{i}_{j}") * F.col(f"u_{j}")
+        total = total + F.col(f"u_{i}") * line
+    return known.withColumn("d2", F.greatest(total, F.lit(0.0))).drop(*centre, *inverse)
 
 
 _ESTIMATE = T.StructType(
@@ -142,18 +150,18 @@ def _estimates(sums: DataFrame, factor: float) -> DataFrame:
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """(gid, median, deviation): arrays of each coordinate's median and median deviation, from counts on a grid."""
+    """(gid, median, mad): arrays of each coordinate's median and median deviation, from counts on a grid."""
 
-    def medians(values: DataFrame) -> DataFrame:
-        counts = values.groupBy("gid", "i", "cell").agg(F.sum("w").alias("n"))
+    def medians(counts: DataFrame) -> DataFrame:
         w = Window.partitionBy("gid", "i")
         counts = counts.withColumn("below", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
         return counts.where("2 * below >= all").groupBy("gid", "i").agg((F.min("cell") / GRID).alias("median"))
 
     cells = rows.select("gid", "w", F.posexplode(F.array(*[F.round(F.col(v) * GRID) for v in VECTOR])).alias("i", "cell"))
-    centre = medians(cells)
-    away = cells.join(centre, ["gid", "i"]).select("gid", "w", "i", F.abs(F.col("cell") - F.round(F.col("median") * GRID)).alias("cell"))
-    both = centre.join(medians(away).withColumnRenamed("median", "mad"), ["gid", "i"])
+    counts = materialize(cells.groupBy("gid", "i", "cell").agg(F.sum("w").alias("n")), "rule-cells")
+    centre = materialize(medians(counts), "rule-centres")
+    away = counts.join(centre, ["gid", "i"]).withColumn("cell", F.abs(F.col("cell") - F.round(F.col("median") * GRID)))
+    both = centre.join(medians(away.groupBy("gid", "i", "cell").agg(F.sum("n").alias("n"))).withColumnRenamed("median", "mad"), ["gid", "i"])
     x = F.sort_array(F.collect_list(F.struct("i", "median", "mad")))
     return both.groupBy("gid").agg(F.transform(x, lambda y: y["median"]).alias("median"), F.transform(x, lambda y: y["mad"]).alias("mad"))
 
@@ -161,16 +169,19 @@ def _medians(rows: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """The four estimates the search starts from."""
     d, floor = len(VECTOR), np.array(FLOOR)
-    known = rows.join(materialize(_medians(rows), "rule-medians"), "gid")
-    z = [(F.col(v) - F.col("median")[i]) / F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i, v in enumerate(VECTOR)]
-    known = known.select("gid", "w", "median", "mad", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    medians = materialize(_medians(rows), "rule-medians")
+    unit = [F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i in range(d)]
+    units = medians.select("gid", *[F.col("median")[i].alias(f"m{i}") for i in range(d)], *[c.alias(f"d{i}") for i, c in enumerate(unit)])
+    known = rows.join(units, "gid").select("gid", "w", *[((F.col(v) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, v in enumerate(VECTOR)])
     z = [F.col(f"z{i}") for i in range(d)]
     squares = z[0] * z[0]
     for c in z[1:]:
         squares = squares + c * c
     known = known.withColumn("length", F.sqrt(squares) + 1e-12)
     kinds = {"a": z, "b": [F.tanh(c) for c in z], "c": [c / F.col("length") for c in z]}
-    sums = known.groupBy("gid").agg(F.sum("w").alias("n"), F.first("median").alias("median"), F.first("mad").alias("mad"), *[m for tag, u in kinds.items() for m in _moments(u, F.col("w"), tag)])
+    known = known.select("gid", "w", *[c.alias(f"{tag}{i}") for tag, u in kinds.items() for i, c in enumerate(u)])
+    moments = [m for tag in kinds for m in _moments([F.col(f"{tag}{i}") for i in range(d)], F.col("w"), tag)]
+    sums = known.groupBy("gid").agg(F.sum("w").alias("n"), *moments).join(medians, "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,43 +216,38 @@ def _correlation(cov: np.ndarray) -> np.ndarray:
 def _step(rows: DataFrame, now: DataFrame, share: float, factor: float) -> DataFrame:
     """Estimates from exactly the nearest share of each group's rows, ties by vector."""
     key = ["gid", "start"]
-    d2 = _distance()
-    known = rows.join(now.select(*key, "centre", "inverse"), "gid").withColumn("d2", d2)
-    known = known.withColumn("bin", F.floor(F.log2(F.col("d2") + LEAST) * PER_DOUBLING))
-    counts = known.groupBy(*key, "bin").agg(F.sum("w").alias("n"))
+    bin_of = F.floor(F.log2(F.col("d2") + LEAST) * PER_DOUBLING)
+    counts = _placed(rows, now, ["gid"]).groupBy(*key, bin_of.alias("bin")).agg(F.sum("w").alias("n"))
     w = Window.partitionBy(*key)
     counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("wanted", F.ceil(F.sum("n").over(w) * F.lit(share)))
     cut = counts.where("upto >= wanted").groupBy(*key).agg(F.min(F.struct("bin", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))).alias("cut"))
-    known = known.join(cut.select(*key, F.col("cut")["bin"].alias("last"), F.col("cut")["need"].alias("need")), key)
-    columns = [*key, "centre", *VECTOR]
-    inside = known.where("bin < last").select(*columns, "w")
+    ends = materialize(now.join(cut.select(*key, F.col("cut")["bin"].alias("last"), F.col("cut")["need"].alias("need")), key), "rule-ends")
+    known = _placed(rows, ends, ["gid"]).withColumn("bin", bin_of)
     before = F.coalesce(F.sum("w").over(w.orderBy("d2", *VECTOR).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = known.where("bin = last").withColumn("left", F.col("need") - before).where("left > 0").select(*columns, F.least("w", "left").alias("w"))
-    u = [F.col(v) - F.col("centre")[i] for i, v in enumerate(VECTOR)]
-    sums = inside.union(edge).groupBy(*key).agg(F.sum("w").alias("n"), F.first("centre").alias("centre"), *_moments(u, F.col("w")))
-    return _estimates(sums, factor)
-
-
-def _fall(old: DataFrame, new: DataFrame) -> float:
-    """By how much the log determinants fell, at most."""
-    both = new.select("gid", "start", "logdet").join(old.select("gid", "start", F.col("logdet").alias("was")), ["gid", "start"])
-    return both.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0
+    edge = known.where("bin = last").withColumn("left", F.col("need") - before).where("left > 0").withColumn("w", F.least("w", "left"))
+    sums = [F.sum("w").alias("n"), *_moments([F.col(f"u_{i}") for i in range(len(VECTOR))], F.col("w"))]
+    parts = known.where("bin < last").groupBy(*key).agg(*sums).unionByName(edge.groupBy(*key).agg(*sums))
+    whole = parts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in key])
+    return _estimates(whole.join(now.select(*key, "centre"), key), factor)
 
 
 def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_STEPS, go_on: int = GO_ON) -> DataFrame:
     """(gid, start, centre, inverse, logdet): the estimate of each group of ``rows`` (gid, the vector, w: how often)."""
     factor = _consistency(share, len(VECTOR))
+    key, names = ["gid", "start"], _ESTIMATE.names
     now = materialize(_starts(rows), "rule-estimate")
     for _ in range(first_steps):
         now = materialize(_step(rows, now, share, factor), "rule-estimate")
     rank = Window.partitionBy("gid").orderBy("logdet", "start")
-    best = lambda few: now.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).drop("r")
-    now = materialize(best(go_on), "rule-estimate")
+    best = lambda few: now.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).select(names)
+    now = materialize(best(go_on).withColumn("moving", F.lit(True)), "rule-estimate")
     while True:  # ends: determinants of finitely many subsets fall
-        before, now = now, materialize(_step(rows, now, share, factor), "rule-estimate")
-        fall = _fall(before, now)
+        before = now
+        new = _step(rows, before.where("moving").select(names), share, factor)
+        new = new.join(before.select(*key, F.col("logdet").alias("was")), key).withColumn("moving", F.col("was") - F.col("logdet") > SETTLED)
+        now = materialize(new.select(*names, "moving").union(before.where("not moving")), "rule-estimate")
         discard(before)
-        if fall <= SETTLED:
+        if now.where("moving").isEmpty():
             return materialize(best(1), "rule-estimate")
 
 
@@ -275,8 +281,8 @@ def _same(stats: DataFrame, groups: DataFrame) -> Column:
 
 
 def _judged(stats: DataFrame, groups: DataFrame, now: DataFrame, cutoff: float) -> DataFrame:
-    placed = stats.join(groups, _same(stats, groups), "left").drop("g_lang", "g_source").join(now, "gid", "left")
-    placed = placed.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    placed = _placed(stats.join(groups, _same(stats, groups), "left").drop("g_lang", "g_source"), now, ["gid"], "left")
+    placed = placed.withColumn("distance", F.when(~F.col("base_failed"), F.col("d2")))
     return placed.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
