@@ -169,15 +169,6 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(new.values()), names=names + list(new))
 
 
-def id_lists(ids: list[bytes]) -> tuple[pa.ListArray, list[int]]:
-    """Byte strings of ids as one list column, and the lists' lengths."""
-    lengths = [len(x) >> 2 for x in ids]
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-    return pa.ListArray.from_arrays(pa.array(offsets), values), lengths
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

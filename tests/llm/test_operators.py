@@ -46,6 +46,42 @@ def test_sentencepiece_is_the_librarys(spark, docs):
     assert sp.encode(docs.limit(0), path).count() == 0
 
 
+def test_sentencepiece_short_segments_walk_together(monkeypatch):
+    import sentencepiece
+
+    path, rnd, alone = tokenizer_path("piece_bpe_32k.model"), random.Random(9), []
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sp.Codec(open(path, "rb").read())
+    monkeypatch.setattr(own, "backtrack", lambda s, walk=own.backtrack: alone.append(s) or walk(s))
+    words = ["".join(rnd.choice("aeinrsthé漢\x01") for _ in range(rnd.randint(1, 20))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(300)] + ["", "a" * 70, "\n\t \U0001f600", words[0] * 40]
+
+    def check():
+        ids, bounds = own.encode_all(texts)
+        wanted = [lib.encode(t) for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == wanted
+        assert own.decode_all(ids, bounds).to_pylist() == [lib.decode(w) for w in wanted]
+
+    check()
+    assert all(len(s) > sp.CACHED_LENGTH for s in alone) and len(set(alone)) < 10  # one walk a segment before
+    for name, value in (("GROUP", 50), ("WALKERS", 7), ("CHUNK", 9), ("CACHED_LENGTH", 5), ("CACHE_SEGMENTS", 40), ("CACHE_PAIRS", 300)):
+        monkeypatch.setattr(sp, name, value)
+        own.forget()
+        check()
+
+
+def test_sentencepiece_decodes_many_at_once():
+    import sentencepiece
+
+    path, rnd = tokenizer_path("piece_bpe_32k.model"), random.Random(10)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sp.codec(path)
+    whole = lib.encode("\U0001f600")  # a character's bytes dealt over two lists are no character
+    for lists in ([], [[]], [[], [5000], []], [whole[:2], whole[2:]], [[1, 2], [1, 29871, 306], [306]], *(
+        [[rnd.choice([rnd.randrange(32000), rnd.randrange(131, 259), rnd.randrange(3)]) for _ in range(rnd.randint(0, 6))] for _ in range(5)] for _ in range(100)
+    )):
+        bounds = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+        assert own.decode_all(np.array([i for x in lists for i in x], np.int32), bounds).to_pylist() == [lib.decode(x) for x in lists]
+
+
 def _plain_scan(text, templates, threshold):
     def pairs(t):
         w = re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
