@@ -59,6 +59,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return _placed(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The rows in a thirty-second of the shuffle partitions, four at least: aggregates with few rows make few tasks and files so."""
+    return df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 32))
+
+
 def bucketed(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
     """As ``materialize``, bucketed by ``column``: joins by it read the table without a shuffle."""
     spark = df.sparkSession

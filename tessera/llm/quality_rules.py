@@ -11,7 +11,10 @@ the smallest wins: a local minimum, which following all four to their ends may l
 Equal vectors are one row with a weight. A step is a few aggregations over all rows: counts by fine bins of log distance
 give the bin in which the share ends, and only that bin's rows (about a six-hundredth of a group) are ordered, by
 distance, then vector. All others meet the small table of estimates where they are read, and leave as partial sums. So the
-largest group costs no more than any other rows, nothing is sampled, and ties are cut alike in each run.
+largest group costs no more than any other rows, nothing is sampled, and ties are cut alike in each run. Tables with a few
+rows for each group are written as few files: the footers of hundreds would pass for a table too large to be sent to all tasks,
+and every step would shuffle all rows by group, in stages whose tasks add up in the driver. Only estimates that are by
+themselves larger than the engine's broadcast threshold still make a step do so.
 
 A floor added to the variances, the resolution of the statistics in the shortest text that passes the base rules,
 keeps statistics that are the same in most of a group (no symbols at all) from rejecting deviations of one count. Groups
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize
+from .common import discard, few, materialize
 from .textstats import RULE_STATS, add_stats, rule_stats
 
 VECTOR = ["v_length", "v_symbols", "v_upper", "v_stops", "v_lines", "v_repeats"]
@@ -158,8 +161,8 @@ def _medians(rows: DataFrame) -> DataFrame:
         return counts.where("2 * below >= all").groupBy("gid", "i").agg((F.min("cell") / GRID).alias("median"))
 
     cells = rows.select("gid", "w", F.posexplode(F.array(*[F.round(F.col(v) * GRID) for v in VECTOR])).alias("i", "cell"))
-    counts = materialize(cells.groupBy("gid", "i", "cell").agg(F.sum("w").alias("n")), "rule-cells")
-    centre = materialize(medians(counts), "rule-centres")
+    counts = materialize(few(cells.groupBy("gid", "i", "cell").agg(F.sum("w").alias("n"))), "rule-cells")
+    centre = materialize(few(medians(counts)), "rule-centres")
     away = counts.join(centre, ["gid", "i"]).withColumn("cell", F.abs(F.col("cell") - F.round(F.col("median") * GRID)))
     both = centre.join(medians(away.groupBy("gid", "i", "cell").agg(F.sum("n").alias("n"))).withColumnRenamed("median", "mad"), ["gid", "i"])
     x = F.sort_array(F.collect_list(F.struct("i", "median", "mad")))
@@ -169,7 +172,7 @@ def _medians(rows: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """The four estimates the search starts from."""
     d, floor = len(VECTOR), np.array(FLOOR)
-    medians = materialize(_medians(rows), "rule-medians")
+    medians = materialize(few(_medians(rows)), "rule-medians")
     unit = [F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + FLOOR[i] ** 2) for i in range(d)]
     units = medians.select("gid", *[F.col("median")[i].alias(f"m{i}") for i in range(d)], *[c.alias(f"d{i}") for i, c in enumerate(unit)])
     known = rows.join(units, "gid").select("gid", "w", *[((F.col(v) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, v in enumerate(VECTOR)])
@@ -181,7 +184,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     kinds = {"a": z, "b": [F.tanh(c) for c in z], "c": [c / F.col("length") for c in z]}
     known = known.select("gid", "w", *[c.alias(f"{tag}{i}") for tag, u in kinds.items() for i, c in enumerate(u)])
     moments = [m for tag in kinds for m in _moments([F.col(f"{tag}{i}") for i in range(d)], F.col("w"), tag)]
-    sums = known.groupBy("gid").agg(F.sum("w").alias("n"), *moments).join(medians, "gid")
+    sums = few(known.groupBy("gid").agg(F.sum("w").alias("n"), *moments)).join(medians, "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,17 +220,17 @@ def _step(rows: DataFrame, now: DataFrame, share: float, factor: float) -> DataF
     """Estimates from exactly the nearest share of each group's rows, ties by vector."""
     key = ["gid", "start"]
     bin_of = F.floor(F.log2(F.col("d2") + LEAST) * PER_DOUBLING)
-    counts = _placed(rows, now, ["gid"]).groupBy(*key, bin_of.alias("bin")).agg(F.sum("w").alias("n"))
+    counts = few(_placed(rows, now, ["gid"]).groupBy(*key, bin_of.alias("bin")).agg(F.sum("w").alias("n")))
     w = Window.partitionBy(*key)
     counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("wanted", F.ceil(F.sum("n").over(w) * F.lit(share)))
     cut = counts.where("upto >= wanted").groupBy(*key).agg(F.min(F.struct("bin", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))).alias("cut"))
-    ends = materialize(now.join(cut.select(*key, F.col("cut")["bin"].alias("last"), F.col("cut")["need"].alias("need")), key), "rule-ends")
+    ends = materialize(now.join(few(cut.select(*key, F.col("cut")["bin"].alias("last"), F.col("cut")["need"].alias("need"))), key), "rule-ends")
     known = _placed(rows, ends, ["gid"]).withColumn("bin", bin_of)
     before = F.coalesce(F.sum("w").over(w.orderBy("d2", *VECTOR).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = known.where("bin = last").withColumn("left", F.col("need") - before).where("left > 0").withColumn("w", F.least("w", "left"))
+    edge = few(known.where("bin = last").withColumn("left", F.col("need") - before).where("left > 0").withColumn("w", F.least("w", "left")))
     sums = [F.sum("w").alias("n"), *_moments([F.col(f"u_{i}") for i in range(len(VECTOR))], F.col("w"))]
-    parts = known.where("bin < last").groupBy(*key).agg(*sums).unionByName(edge.groupBy(*key).agg(*sums))
-    whole = parts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in key])
+    used = [*key, "w", *[f"u_{i}" for i in range(len(VECTOR))]]
+    whole = few(known.where("bin < last").select(used).union(edge.select(used)).groupBy(*key).agg(*sums))
     return _estimates(whole.join(now.select(*key, "centre"), key), factor)
 
 
@@ -240,15 +243,15 @@ def concentrated(rows: DataFrame, share: float = 0.75, first_steps: int = FIRST_
         now = materialize(_step(rows, now, share, factor), "rule-estimate")
     rank = Window.partitionBy("gid").orderBy("logdet", "start")
     best = lambda few: now.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).select(names)
-    now = materialize(best(go_on).withColumn("moving", F.lit(True)), "rule-estimate")
+    now = materialize(few(best(go_on).withColumn("moving", F.lit(True))), "rule-estimate")
     while True:  # ends: determinants of finitely many subsets fall
         before = now
         new = _step(rows, before.where("moving").select(names), share, factor)
         new = new.join(before.select(*key, F.col("logdet").alias("was")), key).withColumn("moving", F.col("was") - F.col("logdet") > SETTLED)
-        now = materialize(new.select(*names, "moving").union(before.where("not moving")), "rule-estimate")
+        now = materialize(few(new.select(*names, "moving").union(before.where("not moving"))), "rule-estimate")
         discard(before)
         if now.where("moving").isEmpty():
-            return materialize(best(1), "rule-estimate")
+            return materialize(few(best(1)), "rule-estimate")
 
 
 def _failed() -> Column:
@@ -268,7 +271,7 @@ def estimate(stats: DataFrame, share: float = 0.75, min_rows: int = 100) -> tupl
     level = F.when(alone, 0).when(by_lang, 1).otherwise(2)
     groups = sizes.select("g_lang", "g_source", level.alias("level"))
     gid = F.when(F.col("level") == 0, F.xxhash64(F.lit(0), F.to_json(F.struct("g_lang", "g_source")))).when(F.col("level") == 1, F.xxhash64(F.lit(1), F.to_json(F.struct("g_lang")))).otherwise(0)
-    groups = materialize(groups.withColumn("gid", gid.cast("long")).drop("level"), "rule-groups")
+    groups = materialize(few(groups.withColumn("gid", gid.cast("long")).drop("level")), "rule-groups")
     rows = stats.where("not base_failed").join(groups, _same(stats, groups)).groupBy("gid", *VECTOR).agg(F.count(F.lit(1)).alias("w"))
     rows = materialize(rows, "rule-vectors")
     now = concentrated(rows, share)

@@ -153,3 +153,28 @@ def test_classifier_on_odd_tables(spark, docs):
     stay = quality_gbt.accepted(d, one)
     assert stay.columns == d.columns and 0 < stay.count() < d.count()
     assert len(FEATURES) == len(set(FEATURES))
+
+
+def test_estimates_stay_few_files_whatever_the_partitions(spark):
+    """Else their footers pass for a large table, and every step shuffles all rows by group."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(1, 0.2, (2000, D))
+    data = [(i % 50, *map(float, v), 1) for i, v in enumerate(x)]
+    rows = materialize(spark.createDataFrame(data, ["gid", *quality_rules.VECTOR, "w"]), "test-rows")
+    usual = {(r.gid, r.start): r for r in quality_rules._step(rows, materialize(quality_rules._starts(rows), "test-starts"), 0.75, FACTOR).collect()}
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        starts = materialize(quality_rules._starts(rows), "test-starts")
+        new = materialize(quality_rules._step(rows, starts, 0.75, FACTOR), "test-step")
+        assert len(starts.inputFiles()) <= 4 and len(new.inputFiles()) <= 4
+        found = {(r.gid, r.start): r for r in new.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found.keys() == usual.keys() and len(found) == 200
+    for key, r in found.items():
+        np.testing.assert_allclose(r.centre, usual[key].centre, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(r.inverse, usual[key].inverse, rtol=1e-6, atol=1e-6)
